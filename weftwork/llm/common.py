@@ -85,7 +85,7 @@ def put_file(uri: str, write) -> None:
     system, path = file_system(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(own) as stream:
+    with system.open_output_stream(own, compression=None) as stream:
         write(stream)
     system.move(own, path)
 

@@ -203,7 +203,7 @@ def read_archives(spark: SparkSession, out_uri: str, manifest: list) -> DataFram
             for name, expected in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 system, path = common.file_system(f"{out_uri}/{name}")
                 rows = []
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     for raw in read_archive(stream):
                         x = parse(raw)
                         if x["type"] in ("response", "revisit"):
