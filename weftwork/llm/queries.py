@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import common, mixing, near_dup, sharding, token_store, warc
+from weftwork.llm import common, decontaminate, language, mixing, mpeg_audio, near_dup, sharding, token_store, warc
 from weftwork.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, a row for each pair, with the best window."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards, written and read back."""
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
@@ -51,14 +56,32 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, fitted on its labelled rows; sources are the hosts."""
+    out = language.of_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "text_language", "grams", "accepted")
+
+
+def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as MPEG audio, stored and read back."""
+    return mpeg_audio.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records in Zstandard archives, written and read back."""
     out = common.new_path(spark, "archives")
     return warc.read_archives(spark, out, warc.write_archives(table(spark, sf_dir, "pages"), out))
 
 
+def lang_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 on the pages, with their markup's language, address and host; fitted on the documents."""
+    model = language.fit(table(spark, sf_dir, "documents"))
+    out = language.of_pages(table(spark, sf_dir, "pages"), model)
+    return out.select("page_id", "language", F.round("confidence", 6).alias("confidence"), "text_language", "grams", "accepted")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_simhash_groups, op5_shards, op6_mix, op9_warc)}
+    return {f.__name__: f for f in (op1_token_files, op2_simhash_groups, op3_decontaminate, op5_shards, op6_mix, op7_language, op8_mpeg_audio, op9_warc, lang_pages)}
 
 
 def _due_sql(schedule: tuple) -> str:
