@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import common, decontaminate, language, mixing, mpeg_audio, near_dup, sharding, token_store, warc
+from weftwork.llm import common, decontaminate, language, line_dedup, lm_score, mixing, mpeg_audio, near_dup, sharding, token_store, warc
 from weftwork.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language model's and the base scores of all documents."""
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards, written and read back."""
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
@@ -73,6 +78,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, out, warc.write_archives(table(spark, sf_dir, "pages"), out))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that go from each document, and its lines' links to other line sets."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def lang_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7 on the pages, with their markup's language, address and host; fitted on the documents."""
     model = language.fit(table(spark, sf_dir, "documents"))
@@ -81,7 +91,7 @@ def lang_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_simhash_groups, op3_decontaminate, op5_shards, op6_mix, op7_language, op8_mpeg_audio, op9_warc, lang_pages)}
+    return {f.__name__: f for f in (op1_token_files, op2_simhash_groups, op3_decontaminate, op4_lm_score, op5_shards, op6_mix, op7_language, op8_mpeg_audio, op9_warc, op10_line_dedup, lang_pages)}
 
 
 def _due_sql(schedule: tuple) -> str:
