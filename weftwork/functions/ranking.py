@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def with_position(df: DataFrame, name: str, value: Column, tie: str, *, by: list[str] | None = None, pieces: int = 128, spread: int = 64) -> DataFrame:
     """df with `name`, the place (from 0) of each row by (value, tie), within the groups of `by`; nulls first.
 
-    Quantiles of the value cut the order into buckets; a frequent value has a bucket of its own, cut by the hash of
-    nothing but its ties' order. Counts of buckets give each its offset, so that windows span one bucket only.
+    Quantiles of the value cut the order into buckets; a frequent value has a bucket of its own, cut by ranges of
+    the tie. Counts of buckets give each its offset, so that windows span one bucket only.
     """
     by = by or []
     held = df.withColumn("__v", value.cast("double"))
@@ -21,7 +21,7 @@ def with_position(df: DataFrame, name: str, value: Column, tie: str, *, by: list
     at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("__v"))) if bounds else F.lit(0)
     exact = F.array_contains(F.array(*map(F.lit, bounds)), F.col("__v")) if bounds else F.lit(False)
     bucket = F.when(F.col("__v").isNull(), -1).otherwise(at * 2 + exact.cast("int"))
-    sub = F.when(F.col("__v").isNull() | exact, F.floor((F.col(tie) - F.lit(low or 0)) * spread / span)).otherwise(0)
+    sub = F.when(F.col("__v").isNull() | exact, F.floor((F.col(tie).cast("double") - F.lit(float(low or 0))) * spread / F.lit(float(span)))).otherwise(0)
     held = held.withColumns({"__b": bucket.cast("int"), "__s": sub.cast("int")})
     # Strictly between bounds a bucket comes before the bound that ends it: 2i is below bound i, 2i + 1 is bound i.
     counts = held.groupBy(*by, "__b", "__s").agg(F.count("*").alias("__n"))

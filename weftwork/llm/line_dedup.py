@@ -1,7 +1,8 @@
 """Operator 10: line deduplication by an exact set-similarity join.
 
-A line is the set of its words. All words are ordered by rarity: those of the bounded head by their counts over the
-whole corpus, the rest, which are rarer, before them by their hash; any fixed order gives exact results. Two sets with
+A line is the set of its words. All words are ordered by rarity: by the count, over the whole corpus, of the bucket of
+words that theirs is hashed to, then by their hash; the table of buckets has a fixed size, and any fixed order gives
+exact results. Two sets with
 a Jaccard similarity of t share a word among their first |x| - ceil(t |x|) + 1, their prefixes, so the join deals
 prefix words to tasks, and pairs of sets that meet at a word pass the length filter and the positional filter (what
 can still follow the shared word must reach the overlap that t asks for) before their whole sets are compared. Words that
@@ -24,22 +25,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm import common, wordhash
-from weftwork.llm.wordhash import Counts, mix
+from weftwork.llm.wordhash import mix
 
-WIDE = 6  # bytes of a word's hash in a stored set
+WIDE = 5  # bytes of a word's hash in a stored set
+BUCKETS = 18  # bits of the table of counts
 LAST = (1 << 63) - 1
+MOST = 0xFFFF
 
 
-def line_sets(texts: list[str | None]):
-    """(text, line number, set hash, size, first word) of each line that has words, and the words of all sets in a row."""
+def line_sets(texts: list[str | None], counts: np.ndarray | None = None):
+    """(text, line number, set hash, size, first word) of each line that has words, and the words of all sets in a row, those of a set by rarity."""
     raw = [x or "" for x in texts]
-    hashes, counts, start = wordhash.words(raw, wordhash.LINES)
+    hashes, _, start = wordhash.words(raw, wordhash.LINES)
     joined = np.frombuffer("\n".join(raw).encode("utf-8", "surrogatepass"), np.uint8)
-    breaks = np.flatnonzero(joined == 10)
-    line = np.searchsorted(breaks, start)
+    line = np.searchsorted(np.flatnonzero(joined == 10), start)
     lengths = np.fromiter((x.count("\n") + 1 for x in raw), np.int64, len(raw))
     first_line = np.cumsum(lengths) - lengths
-    order = np.lexsort((hashes, line))
+    rarity = np.zeros(len(hashes), np.uint64) if counts is None else counts[(hashes >> np.uint64(64 - BUCKETS)).astype(np.int64)]
+    low = hashes & np.uint64((1 << 40) - 1)
+    # Lines stand in order already; within a line by rank of the bucket, then by the bits that are stored.
+    order = np.lexsort((low, line.astype(np.uint64) << np.uint64(BUCKETS) | rarity))
     line, hashes = line[order], hashes[order]
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
@@ -51,56 +56,37 @@ def line_sets(texts: list[str | None]):
     return text, line[at] - first_line[text], key, size, at, hashes
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(key, n): in how many lines each word is."""
+def bucket_ranks(docs: DataFrame) -> np.ndarray:
+    """Of each bucket of words its place by rising count over all texts: a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = Counts(1)
+        total = np.zeros(1 << BUCKETS, np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for at, to in wordhash.chunks(texts):
-                total.add(*np.unique(line_sets(texts[at:to])[5], return_counts=True))
-        total.merge()
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys.view(np.int64)), pa.array(total.sums[:, 0])], ["key", "n"])
-
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def head_ranks(counts: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys in their order, ranks by rising count) of the most frequent words, `head` of them at most."""
-    rows = sorted(((r["b"], r["w"]) for r in counts.groupBy(F.least("n", F.lit(100_000)).alias("b")).agg(F.count("*").alias("w")).collect()), reverse=True)
-    least, held = None, 0
-    for n, w in rows:
-        if held + w > head:
-            break
-        least, held = n, held + w
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    got = counts.where(F.col("n") >= least).toPandas()
-    keys, n = got["key"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy()
-    rank = np.empty(len(keys), np.uint64)
-    rank[np.lexsort((keys, n))] = np.arange(len(keys), dtype=np.uint64)
-    order = np.argsort(keys)
-    return keys[order], rank[order]
+                total += np.bincount((wordhash.words(texts[at:to])[0] >> np.uint64(64 - BUCKETS)).astype(np.int64), minlength=1 << BUCKETS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["bucket", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << BUCKETS, np.int64)
+    counts[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy()
+    ranks = np.empty(1 << BUCKETS, np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(1 << BUCKETS, dtype=np.uint64)
+    return ranks
 
 
 def stored_lines(docs: DataFrame, ranks) -> DataFrame:
     """(key, doc_id, line, words): every line that has words; words, in the order of rarity, for one line of each set in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, rank = ranks.value
         seen = np.zeros(0, np.uint64)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for at, to in wordhash.chunks(texts):
-                text, line, key, size, first, hashes = line_sets(texts[at:to])
+                text, line, key, size, first, hashes = line_sets(texts[at:to], ranks.value)
                 if not len(key):
                     continue
-                owner = np.repeat(np.arange(len(key)), size)
-                place = np.minimum(np.searchsorted(head, hashes), max(0, len(head) - 1))
-                common_ = head[place] == hashes if len(head) else np.zeros(len(hashes), bool)
-                within = np.where(common_, rank[place] if len(head) else 0, hashes)
-                hashes = hashes[np.lexsort((within, common_, owner))]
                 raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDE].tobytes()
                 _, one = np.unique(key, return_index=True)
                 one = one[~np.isin(key[one], seen)] if len(seen) else one
@@ -120,7 +106,10 @@ def unpack(words: bytes) -> np.ndarray:
 
 
 def prefixes(lines: DataFrame, t: float) -> DataFrame:
-    """(word, key, size, place): the prefix words of each set."""
+    """(word, key, more): the prefix words of each set as 32-bit hashes; more packs the set's 32-bit signature (a bit for each word), its size and the word's place.
+
+    Sizes and places beyond 16 bits stand at their bound, where the filters let pairs pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,66 +118,124 @@ def prefixes(lines: DataFrame, t: float) -> DataFrame:
             # Sets that only an equal set can match need no search: no other size or overlap reaches t.
             alone = (np.floor(size / t + 1e-9) <= size) & (np.ceil(2 * size * t / (1 + t) - 1e-9) >= size)
             keep = np.flatnonzero(~alone)
-            many = (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[keep]
-            flat = unpack(b"".join(sets[i][: m * WIDE] for i, m in zip(keep.tolist(), many.tolist(), strict=True)))
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(key[keep], many)), pa.array(np.repeat(size[keep], many).astype(np.int32)), pa.array(place.astype(np.int32))], ["word", "key", "size", "place"])
-
-    return lines.where("words is not null").select("key", "words").mapInArrow(run, "word long, key long, size int, place int")
-
-
-def candidates(heads: DataFrame, t: float, *, bound: int = 20_000, hot_words: int = 2000) -> DataFrame:
-    """(x, y): pairs of set keys that share a prefix word and pass the length and positional filters; a pair may come once for each word."""
-    spark = heads.sparkSession
-    heads = common.stage(heads, "prefixes")
-    n = heads.count()
-    bound = max(bound, -(-n // hot_words))
-    hot = [(r["word"], -(-r["n"] // bound)) for r in heads.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > bound).collect()]
-    keyed = heads.withColumn("pair", F.lit(0))
+            if not len(keep):
+                continue
+            key, size = key[keep], size[keep]
+            flat = unpack(b"".join(sets[i] for i in keep.tolist()))
+            first = np.cumsum(size) - size
+            many = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+            place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            word = (flat[np.repeat(first, many) + place] >> np.uint64(8)).astype(np.uint32).view(np.int32)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (flat & np.uint64(31)), first) << np.uint64(32)
+            more = np.repeat(bits | np.minimum(size, MOST).astype(np.uint64) << np.uint64(16), many) | np.minimum(place, MOST).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.repeat(key, many)), pa.array(more.view(np.int64))], ["word", "key", "more"])
+
+    return lines.where("words is not null").select("key", "words").mapInArrow(run, "word int, key long, more long")
+
+
+def hot_words(lines: DataFrame, t: float, bound: int) -> list[tuple[int, int]]:
+    """(word, chunks) of the prefix words of more than `bound` sets. Each task hands on those of its words that could be: a share of the bound as even tasks would have."""
+    tasks = max(1, lines.rdd.getNumPartitions())
+    least = max(1, bound // tasks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, int] = {}
+        for batch in batches:
+            words, n = np.unique(np.asarray(batch.column(0)), return_counts=True)
+            for w, k in zip(words.tolist(), n.tolist(), strict=True):
+                held[w] = held.get(w, 0) + k
+        kept = {w: k for w, k in held.items() if k >= least}
+        yield pa.RecordBatch.from_pydict({"word": pa.array(list(kept), pa.int32()), "n": pa.array(list(kept.values()), pa.int64())})
+
+    counts = prefixes(lines, t).select("word").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # A word above the bound reaches the share in one task at least; what the others hold back is less than the bound.
+    return [(r["word"], -(-(r["n"] + bound) // bound)) for r in counts.where(F.col("n") > bound // 2).collect()]
+
+
+def candidates(lines: DataFrame, t: float, *, bound: int = 20_000, most_hot: int = 2000) -> DataFrame:
+    """(x, y): pairs of set keys that share a prefix word and pass the filters; each once.
+
+    Besides length and position, signatures are compared: sets differ in at least as many words as their signatures in
+    bits. All filters leave in every pair that reaches t.
+    """
+    spark = lines.sparkSession
+    bound = max(bound, -(-lines.count() * 8 // most_hot))
+    hot = hot_words(lines, t, bound)
+    keyed = prefixes(lines, t).withColumn("pair", F.lit(0))
     if hot:
         k = F.coalesce("k", F.lit(1))
         chunk = F.pmod(F.xxhash64("key", F.lit("chunk")), k).cast("int")
-        keyed = heads.join(F.broadcast(spark.createDataFrame(hot, "hot long, k int")), F.col("word") == F.col("hot"), "left").withColumns({"k": k, "chunk": chunk})
+        keyed = keyed.drop("pair").join(F.broadcast(spark.createDataFrame(hot, "hot int, k int")), F.col("word") == F.col("hot"), "left").withColumns({"k": k, "chunk": chunk})
         keyed = keyed.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).withColumn("pair", (F.least("chunk", "other") * F.col("k") + F.greatest("chunk", "other")).cast("int"))
+    keyed = keyed.select((F.shiftleft(F.col("word").cast("long"), 32) + F.col("pair")).alias("group"), "key", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[np.asarray(c) for c in b.columns] for b in batches]
         if not held:
             return
-        word, key, size, place, pair = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((key, size, pair, word))
-        word, key, size, place, pair = (x[order] for x in (word, key, size, place, pair))
-        new = np.ones(len(word), bool)  # a set that several tasks have stored is here more than once
-        new[1:] = (word[1:] != word[:-1]) | (pair[1:] != pair[:-1]) | (key[1:] != key[:-1])
-        word, key, size, place, pair = (x[new] for x in (word, key, size, place, pair))
-        group = np.concatenate([[0], np.cumsum((word[1:] != word[:-1]) | (pair[1:] != pair[:-1]))])
+        group, key, more = (np.concatenate(c) for c in zip(*held, strict=True))
+        more = more.view(np.uint64)
+        order = np.lexsort((more & np.uint64(0xFFFF), key, more >> np.uint64(16) & np.uint64(0xFFFF), group))
+        group, key, more = group[order], key[order], more[order]
+        new = np.ones(len(key), bool)  # a set that several tasks have stored is here more than once
+        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        group, key, more = group[new], key[new], more[new]
+        size, place, bits = (more >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), (more & np.uint64(0xFFFF)).astype(np.int64), more >> np.uint64(32)
+        number = np.concatenate([[0], np.cumsum(group[1:] != group[:-1])])
         # The partners of a row: those after it in its group whose size is at most size / t; they are a range.
-        wide = group * (1 << 32) + size
-        upto = np.searchsorted(wide, group * (1 << 32) + np.floor(size / t + 1e-9).astype(np.int64), side="right")
-        many = upto - np.arange(len(word)) - 1
+        most = np.where(size >= MOST, 1 << 30, np.floor(size / t + 1e-9).astype(np.int64))
+        upto = np.searchsorted(number * (1 << 32) + size, number * (1 << 32) + most, side="right")
+        many = upto - np.arange(len(key)) - 1
         rows = np.flatnonzero(many > 0)
         share = np.cumsum(many[rows]) // 2_000_000
         for part in np.split(rows, np.flatnonzero(np.diff(share)) + 1):
             m = many[part]
             x = np.repeat(part, m)
             y = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + x + 1
-            both = size[x].astype(np.int64) + size[y]
+            both = size[x] + size[y]
             need = np.ceil(t / (1 + t) * both - 1e-9)
-            ok = 1 + np.minimum(size[x] - place[x], size[y] - place[y]) - 1 >= need
+            ok = (np.minimum(size[x] - place[x], size[y] - place[y]) >= need) & (np.bitwise_count(bits[x] ^ bits[y]) <= both - 2 * need) | (size[y] >= MOST)
             a, b = key[x[ok]], key[y[ok]]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
 
-    parts = common.parts_for(spark, n, 500_000)
-    return keyed.select("word", "key", "size", "place", "pair").repartition(parts, "word", "pair").mapInArrow(run, "x long, y long").distinct()
+    parts = common.parts_for(spark, lines.count() * 8, 500_000)
+    return keyed.repartition(parts, "group").mapInArrow(run, "x long, y long").distinct()
 
 
-def verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
-    """The pairs whose whole sets have a similarity of t."""
+def verified(pairs: DataFrame, lines: DataFrame, t: float, *, most_bytes: int = 48 << 20) -> DataFrame:
+    """The pairs whose whole sets have a similarity of t. The sets are broadcast if they take most_bytes at most, else joined to the pairs."""
+    spark = pairs.sparkSession
     sets = lines.where("words is not null").select("key", "words")
     involved = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
-    sets = sets.join(involved, sets["key"] == involved["k"], "left_semi").groupBy("key").agg(F.first("words").alias("words"))
-    sets = common.stage(sets, "involved")
+    sets = common.stage(sets.join(involved, sets["key"] == involved["k"], "left_semi").groupBy("key").agg(F.first("words").alias("words")), "involved")
+    size = sets.agg(F.coalesce(F.sum(F.octet_length("words") + 40), F.lit(0))).first()[0]
+    if size <= most_bytes:
+        rows = sorted((r["key"], bytes(r["words"])) for r in sets.toLocalIterator())
+        ends = np.cumsum([len(w) // WIDE for _, w in rows], dtype=np.int64)
+        shared = spark.sparkContext.broadcast((np.array([k for k, _ in rows], np.int64), np.concatenate([[0], ends]), unpack(b"".join(w for _, w in rows))))
+        del rows
+
+        def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, bounds, words = shared.value
+            for batch in batches:
+                u, v = (np.searchsorted(keys, np.asarray(c)) for c in batch.columns)
+                keep = np.zeros(len(u), bool)
+                for at in range(0, len(u), 20_000):
+                    i, j = u[at : at + 20_000], v[at : at + 20_000]
+                    ni, nj = bounds[i + 1] - bounds[i], bounds[j + 1] - bounds[j]
+                    many = ni + nj
+                    owner = np.repeat(np.arange(len(i)), many)
+                    within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                    left = within < ni[owner]
+                    of = np.where(left, bounds[i][owner] + within, bounds[j][owner] + within - ni[owner])
+                    tagged = np.sort(owner.astype(np.uint64) << np.uint64(8 * WIDE) | words[of])
+                    twice = tagged[1:] == tagged[:-1]
+                    shared_ = np.bincount((tagged[1:][twice] >> np.uint64(8 * WIDE)).astype(np.int64), minlength=len(i))
+                    keep[at : at + 20_000] = shared_ >= t * (many - shared_) - 1e-9
+                yield batch.filter(pa.array(keep))
+
+        return pairs.mapInArrow(among, "x long, y long")
     a, b = sets.select(F.col("key").alias("x"), F.col("words").alias("a")), sets.select(F.col("key").alias("y"), F.col("words").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,12 +249,12 @@ def verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
 
 
-def duplicate_lines(docs: DataFrame, *, t: float = 0.8, head: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+def duplicate_lines(docs: DataFrame, *, t: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """((doc_id, line, removed, links) of each line that has words, (x, y) links of distinct sets): links are a line's to other sets."""
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(head_ranks(common.stage(word_counts(docs), "words"), head))
+    ranks = spark.sparkContext.broadcast(bucket_ranks(docs))
     lines = common.stage(stored_lines(docs, ranks), "lines")
-    pairs = common.stage(candidates(prefixes(lines, t), t), "candidates")
+    pairs = common.stage(candidates(lines, t), "candidates")
     links = common.stage(verified(pairs, lines, t), "links")
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "line")
     firsts = lines.groupBy("key").agg(F.min(place).alias("first"))

@@ -2,10 +2,349 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftwork.functions import text as T
+from weftwork.functions.formula import Formula
+from weftwork.functions.rng import portable_uniform
+from weftwork.operators import dedup, profile
+from weftwork.operators.validate import close, looping, orphans, out_of_order, uncovered
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+ALL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+FKS = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("labels", "doc_id", "documents", "doc_id")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in ALL))
+def v_row_count(spark, d):
+    return union([t(spark, d, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n in ALL])
+
+
+_KEYS = [("orders", "o_orderkey"), ("customer", "c_custkey"), ("lineitem", "l_orderkey, l_linenumber")]
+
+
+@query("""SELECT 'orders' AS table_name, count(o_orderkey) - count(DISTINCT o_orderkey) AS duplicates FROM orders
+UNION ALL SELECT 'customer', count(c_custkey) - count(DISTINCT c_custkey) FROM customer
+UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))""")
+def v_uniqueness(spark, d):
+    out = []
+    for n, key in _KEYS:
+        counts = t(spark, d, n).groupBy(*key.split(", ")).agg(F.count("*").alias("k"))
+        out.append(counts.agg(F.sum(F.col("k") - 1).alias("duplicates")).select(F.lit(n).alias("table_name"), "duplicates"))
+    return union(out)
+
+
+@query("SELECT count(*) - count(o_orderkey) AS o_orderkey, count(*) - count(o_custkey) AS o_custkey, count(*) - count(o_orderdate) AS o_orderdate FROM orders")
+def v_not_null(spark, d):
+    return t(spark, d, "orders").agg(*((F.count("*") - F.count(c)).alias(c) for c in ("o_orderkey", "o_custkey", "o_orderdate")))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}.{f}' AS fk, (SELECT count(*) FROM {c} WHERE {f} IS NOT NULL AND {f} NOT IN (SELECT {k} FROM {p})) AS orphans" for c, f, p, k in FKS) + " UNION ALL SELECT 'lineitem.l_orderkey (F only)', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))")
+def v_fk_orphans(spark, d):
+    parts = [(f"{c}.{f}", orphans(t(spark, d, c).select(f), f, t(spark, d, p), k)) for c, f, p, k in FKS]
+    parts.append(("lineitem.l_orderkey (F only)", orphans(t(spark, d, "lineitem").select("l_orderkey"), "l_orderkey", t(spark, d, "orders").where("o_orderstatus = 'F'"), "o_orderkey")))
+    return union([df.agg(F.count("*").alias("orphans")).select(F.lit(n).alias("fk"), "orphans") for n, df in parts])
+
+
+@query("""SELECT o_orderkey AS key, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING count(l_orderkey) < 2""")
+def v_parent_coverage(spark, d):
+    return uncovered(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", t(spark, d, "lineitem").select("l_orderkey"), "l_orderkey", 2)
+
+
+@query("""WITH c AS (SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1), s AS (SELECT sum(n) AS total, count(*) AS k FROM c)
+SELECT label, round(n / total, 9) AS observed, round(1 / k, 9) AS expected, abs(n / total - 1 / k) <= greatest(0.05, 1 / total) + 1e-12 AS passed FROM c, s""")
+def v_distribution(spark, d):
+    c = t(spark, d, "events").groupBy(F.col("event_type").alias("label")).agg(F.count("*").alias("n"))
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    c = c.withColumns({"total": F.sum("n").over(everything), "k": F.count("*").over(everything)})
+    gap = F.abs(F.col("n") / F.col("total") - 1 / F.col("k"))
+    return c.select("label", F.round(F.col("n") / F.col("total"), 9).alias("observed"), F.round(1 / F.col("k"), 9).alias("expected"), (gap <= F.greatest(F.lit(0.05), 1 / F.col("total")) + 1e-12).alias("passed"))
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS "case", o_orderstatus AS label, count(*) AS n FROM orders GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY "case") AS total FROM c)
+SELECT "case", round(max(abs(n / total - 1 / 3)), 9) AS worst FROM s WHERE total >= 20 GROUP BY 1""")
+def v_distribution_when(spark, d):
+    c = t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("case"), F.col("o_orderstatus").alias("label")).agg(F.count("*").alias("n"))
+    c = c.withColumn("total", F.sum("n").over(Window.partitionBy("case"))).where("total >= 20")
+    return c.groupBy("case").agg(F.round(F.max(F.abs(F.col("n") / F.col("total") - 1 / 3)), 9).alias("worst"))
+
+
+@query("""SELECT l_returnflag AS "case", count(*) AS n, count(*) FILTER (l_discount BETWEEN 0 AND CASE l_returnflag WHEN 'A' THEN 0.05 WHEN 'R' THEN 0.07 ELSE 0.1 END) AS fits FROM lineitem GROUP BY 1""")
+def v_when_bounds(spark, d):
+    most = F.when(F.col("l_returnflag") == "A", 0.05).when(F.col("l_returnflag") == "R", 0.07).otherwise(0.1)
+    return t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("case")).agg(F.count("*").alias("n"), F.count(F.when(F.col("l_discount").between(0, most), 1)).alias("fits"))
+
+
+def _dated(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return t(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+@query("""SELECT count(*) FILTER (l_shipdate::DATE < o_orderdate::DATE) AS before_order, count(*) FILTER (date_diff('day', o_orderdate::DATE, l_shipdate::DATE) NOT BETWEEN 1 AND 90) AS outside_gap,
+min(date_diff('day', o_orderdate::DATE, l_shipdate::DATE)) AS least_gap, max(date_diff('day', o_orderdate::DATE, l_shipdate::DATE)) AS most_gap FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def v_temporal(spark, d):
+    v, a = F.col("l_shipdate"), F.col("o_orderdate")
+    gap = F.datediff(v.cast("date"), a.cast("date")).cast("long")
+    return _dated(spark, d).agg(F.count(F.when(out_of_order(v, a, "after", True), 1)).alias("before_order"), F.count(F.when(out_of_order(v, a, "after", True, 1, 90), 1)).alias("outside_gap"), F.min(gap).alias("least_gap"), F.max(gap).alias("most_gap"))
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (o_orderkey % 97 = 0) AS inconsistent FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def v_lookup(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    child = t(spark, d, "lineitem").select("l_orderkey").join(o.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("copy")), F.col("l_orderkey") == F.col("k"))
+    child = child.withColumn("copy", F.when(F.col("k") % 97 == 0, F.col("copy") + 1).otherwise(F.col("copy")))
+    return child.join(o, F.col("l_orderkey") == F.col("o_orderkey")).agg(F.count("*").alias("n"), F.count(F.when(~close(F.col("copy"), F.col("o_totalprice")), 1)).alias("inconsistent"))
+
+
+@query("""SELECT count(*) FILTER (l_quantity NOT BETWEEN 1 AND 45) AS quantity, count(*) FILTER (l_discount NOT BETWEEN 0 AND 0.08) AS discount, count(*) FILTER (l_returnflag NOT IN ('A', 'N')) AS flag FROM lineitem""")
+def v_type_range(spark, d):
+    bad = {"quantity": ~F.col("l_quantity").between(1, 45), "discount": ~F.col("l_discount").between(0, 0.08), "flag": ~F.col("l_returnflag").isin("A", "N")}
+    return t(spark, d, "lineitem").agg(*(F.count(F.when(b, 1)).alias(n) for n, b in bad.items()))
+
+
+@query("""SELECT count(*) FILTER (regexp_matches(url, '^https?://[a-z0-9.-]+/')) AS url_ok, count(*) FILTER (regexp_matches(url, '^https://')) AS secure, count(*) FILTER (NOT regexp_matches(url, '\\.example\\.(com|net|org)')) AS foreign_host FROM pages""")
+def v_type_regex(spark, d):
+    u = F.col("url")
+    return t(spark, d, "pages").agg(F.count(F.when(u.rlike("^https?://[a-z0-9.-]+/"), 1)).alias("url_ok"), F.count(F.when(u.rlike("^https://"), 1)).alias("secure"), F.count(F.when(~u.rlike(r"\.example\.(com|net|org)"), 1)).alias("foreign_host"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 500 = 7 THEN p_partkey * 2 WHEN p_partkey > 1 THEN p_partkey // 2 END AS up FROM part),
+r AS (SELECT id, up, 0 AS depth FROM p WHERE up IS NOT NULL UNION ALL SELECT r.id, p.up, depth + 1 FROM r JOIN p ON r.up = p.id WHERE p.up IS NOT NULL AND depth < 40)
+SELECT DISTINCT id AS node FROM r WHERE depth = 40""")
+def v_hierarchy(spark, d):
+    k = F.col("p_partkey")
+    up = F.when(k % 500 == 7, k * 2).when(k > 1, F.floor(k / 2))
+    return looping(t(spark, d, "part").select(k.alias("id"), up.alias("up")), "id", "up")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS n, count(*) - count({c}) AS nulls, round(min({c}) + 0.0, 6) AS min, round(max({c}), 6) AS max, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+def r_numeric(spark, d):
+    df = t(spark, d, "lineitem")
+    return union([profile.numeric_summary(df, c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+
+
+@query("SELECT o_orderstatus AS label, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders), 9) AS observed FROM orders GROUP BY 1")
+def r_category(spark, d):
+    return profile.shares(t(spark, d, "orders"), "o_orderstatus")
+
+
+@query("SELECT count(DISTINCT c_name) AS distinct_values, min(c_name) AS sample, count(*) - count(c_name) AS nulls FROM customer")
+def r_other(spark, d):
+    return t(spark, d, "customer").agg(F.count_distinct("c_name").alias("distinct_values"), F.min("c_name").alias("sample"), (F.count("*") - F.count("c_name")).alias("nulls"))
+
+
+@query("""SELECT l_returnflag AS "case", count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY ROLLUP (l_returnflag)""")
+def r_when(spark, d):
+    return t(spark, d, "lineitem").rollup(F.col("l_returnflag").alias("case")).agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_pop("l_quantity"), 6).alias("std")).select("case", "n", "mean", "std")
+
+
+@query("""SELECT 'o_orderkey' AS field, 'int' AS kind UNION ALL SELECT 'o_totalprice', 'float' UNION ALL SELECT 'o_orderdate', CASE WHEN (SELECT bool_and(o_orderdate = o_orderdate::DATE) FROM orders) THEN 'datetime' ELSE 'datetime' END
+UNION ALL SELECT 'o_orderstatus', 'string' UNION ALL SELECT 'o_custkey', 'int'""")
+def i_kind_sniff(spark, d):
+    df = t(spark, d, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), "o_orderstatus", "o_custkey")
+    kinds = profile.sniff(df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)))
+    return spark.createDataFrame([(k, v) for k, v in kinds.items()], "field string, kind string")
+
+
+def _moments_sql(table: str, c: str) -> str:
+    return f"SELECT '{c}' AS field, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(avg(pow((x - m) / s, 3)), 6) AS skew FROM (SELECT {c} AS x, avg({c}) OVER () AS m, stddev_pop({c}) OVER () AS s FROM {table})"
+
+
+@query(" UNION ALL ".join(_moments_sql(*x) for x in (("lineitem", "l_quantity"), ("orders", "o_totalprice"), ("events", "value"))))
+def i_moments(spark, d):
+    return union([t(spark, d, n).agg(F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std"), F.round(F.skewness(c), 6).alias("skew")).select(F.lit(c).alias("field"), "mean", "std", "skew") for n, c in (("lineitem", "l_quantity"), ("orders", "o_totalprice"), ("events", "value"))])
+
+
+@query("""WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT CASE WHEN n < 78 THEN 'other' ELSE p_brand END AS label, sum(n)::BIGINT AS n FROM c GROUP BY 1""")
+def i_category_merge(spark, d):
+    return profile.merged_labels(t(spark, d, "part"), "p_brand", least=78)
+
+
+@query("""WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, o_custkey) AS k FROM c)
+SELECT round(-regr_slope(ln(n), ln(k)), 6) AS exponent, count(*) AS points FROM r""")
+def i_zipf(spark, d):
+    return profile.zipf_exponent(t(spark, d, "orders"), "o_custkey")
+
+
+@query("""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem)
+SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM r""")
+def i_spearman(spark, d):
+    return profile.spearman(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@query("""SELECT 'l_extendedprice - rebate' AS formula, true AS fits UNION ALL SELECT 'l_extendedprice + rebate', false UNION ALL SELECT 'l_extendedprice * rebate', false UNION ALL SELECT 'rebate - l_extendedprice', false""")
+def i_formula(spark, d):
+    df = t(spark, d, "lineitem").withColumn("rebate", F.round(F.col("l_extendedprice") * F.col("l_discount"), 2)).withColumn("net", F.round(F.col("l_extendedprice") - F.col("rebate"), 2))
+    return profile.formula_fits(df, "net", "l_extendedprice", "rebate", 2)
+
+
+@query("""SELECT 'orders.o_custkey' AS child, 'customer.c_custkey' AS parent, 0 AS outside UNION ALL SELECT 'lineitem.l_partkey', 'part.p_partkey', 0 UNION ALL SELECT 'lineitem.l_suppkey', 'supplier.s_suppkey', 0
+UNION ALL SELECT 'customer.c_custkey', 'supplier.s_suppkey', (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier))""")
+def i_fk_candidates(spark, d):
+    pairs = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("customer", "c_custkey", "supplier", "s_suppkey")]
+    return union([orphans(t(spark, d, c).select(f), f, t(spark, d, p), k).agg(F.count("*").alias("outside")).select(F.lit(f"{c}.{f}").alias("child"), F.lit(f"{p}.{k}").alias("parent"), "outside") for c, f, p, k in pairs])
+
+
+@query("""WITH a AS (SELECT o_orderstatus AS l, count(*) / (SELECT count(*) FROM orders) AS p FROM orders GROUP BY 1), b AS (SELECT l_linestatus AS l, count(*) / (SELECT count(*) FROM lineitem) AS p FROM lineitem GROUP BY 1)
+SELECT round(0.5 * sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))), 4) AS tvd FROM a FULL JOIN b ON a.l = b.l""")
+def i_tvd(spark, d):
+    return profile.total_variation(t(spark, d, "orders").select(F.col("o_orderstatus").alias("label")), t(spark, d, "lineitem").select(F.col("l_linestatus").alias("label")))
+
+
+_U = "('0x' || substr(md5('{key}:' || {row}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+def _u(key: str, row: str) -> str:
+    return _U.format(key=key, row=row)
+
+
+@query(f"SELECT c_custkey AS id, round(5 + {_u('s:u', 'c_custkey')} * 395, 6) AS uniform, round(least(400, 5 - 100 * ln(1 - {_u('s:e', 'c_custkey')})), 6) AS exponential, round(greatest(0, least(10, 5 + 2 * sqrt(-2 * ln(1 - {_u('s:a', 'c_custkey')})) * cos({2 * math.pi!r} * {_u('s:b', 'c_custkey')}))), 6) AS normal FROM customer")
+def g_numeric(spark, d):
+    row = F.col("c_custkey")
+    u = lambda k: portable_uniform(k, row)
+    bell = 5 + 2 * F.sqrt(-2 * F.log(1 - u("s:a"))) * F.cos(F.lit(2 * math.pi) * u("s:b"))
+    return t(spark, d, "customer").select(row.alias("id"), F.round(5 + u("s:u") * 395, 6).alias("uniform"), F.round(F.least(F.lit(400.0), 5 - 100 * F.log(1 - u("s:e"))), 6).alias("exponential"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), bell)), 6).alias("normal"))
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY {_u('s:q', 'o_orderkey')}, o_orderkey) - 1 AS j, count(*) OVER () AS n FROM orders)
+SELECT id, CASE WHEN j < n // 2 THEN 'a' WHEN j < n // 2 + n // 4 THEN 'b' ELSE 'c' END AS label FROM r""")
+def g_quota(spark, d):
+    from weftwork.functions.ranking import with_position
+
+    df = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    n = df.count()
+    df = with_position(df, "j", portable_uniform("s:q", F.col("id")), "id")
+    return df.select("id", F.when(F.col("j") < n // 2, "a").when(F.col("j") < n // 2 + n // 4, "b").otherwise("c").alias("label"))
+
+
+@query(f"""WITH p AS (SELECT count(*) AS n FROM customer) SELECT e.event_id AS id, c.c_custkey AS parent, c.c_mktsegment AS copied FROM events e, p JOIN customer c ON c.c_custkey = floor({_u('s:f', 'e.event_id')} * p.n)::BIGINT + (SELECT min(c_custkey) FROM customer)""")
+def g_fk_lookup(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    n, low = c.agg(F.count("*"), F.min("c_custkey")).first()
+    e = t(spark, d, "events").select(F.col("event_id").alias("id"), (F.floor(portable_uniform("s:f", F.col("event_id")) * n) + low).alias("parent"))
+    return e.join(c, F.col("parent") == F.col("c_custkey")).select("id", "parent", F.col("c_mktsegment").alias("copied"))
+
+
+@query(f"SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN floor({_u('s:t', 'p_partkey')} * (p_partkey - 1))::BIGINT + 1 END AS up, '1996-01-01'::DATE + floor({_u('s:d', 'p_partkey')} * 366)::INTEGER AS day FROM part")
+def g_tree_and_dates(spark, d):
+    k = F.col("p_partkey")
+    return t(spark, d, "part").select(k.alias("id"), F.when(k > 1, F.floor(portable_uniform("s:t", k) * (k - 1)) + 1).alias("up"), F.date_add(F.lit("1996-01-01").cast("date"), F.floor(portable_uniform("s:d", k) * 366).cast("int")).alias("day"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey, floor((l_quantity - 25) / 7)::DOUBLE AS floordiv, l_quantity - 25 - 7 * floor((l_quantity - 25) / 7) AS modulo, CASE WHEN l_returnflag = 'R' THEN NULL WHEN l_discount > 0.05 THEN l_tax ELSE l_discount + 0.0 END AS chosen FROM lineitem""")
+def f_arithmetic(spark, d):
+    df = t(spark, d, "lineitem").withColumn("flag", F.when(F.col("l_returnflag") != "R", F.lit(1)))
+    kinds = dict(df.dtypes)
+    make = lambda s: Formula(s).compile(kinds).col
+    return df.select("l_orderkey", "l_linenumber", "l_suppkey", make("(l_quantity - 25) // 7").alias("floordiv"), make("(l_quantity - 25) % 7").alias("modulo"), make("(l_tax if l_discount > 0.05 else l_discount + 0.0) if flag == 1 else 0.0").alias("chosen"))
+
+
+@query("""SELECT o_orderkey, year(o_orderdate)::BIGINT AS y, (isodow(o_orderdate) - 1)::BIGINT AS w, date_diff('day', o_orderdate::DATE, DATE '1999-01-01') AS days, o_totalprice > 1000 AND o_orderstatus = 'F' AS both, upper(o_orderstatus) || '-' AS tag FROM orders""")
+def f_dates(spark, d):
+    df = t(spark, d, "orders")
+    kinds = dict(df.dtypes)
+    make = lambda s: Formula(s).compile(kinds).col
+    return df.select("o_orderkey", make("year(o_orderdate)").alias("y"), make("weekday(o_orderdate)").alias("w"), make("days_between(o_orderdate, '1999-01-01')").alias("days"), make("o_totalprice > 1000 and o_orderstatus == 'F'").alias("both"), make("o_orderstatus + '-'").alias("tag"))
+
+
+@query("""SELECT event_id, least(value, 50.0) AS low, CASE WHEN nullif(event_type, 'click') IS NULL THEN NULL ELSE greatest(value, 10.0) END AS high, coalesce(nullif(event_type, 'click'), 'none') AS kind, floor(sqrt(value))::BIGINT AS root FROM events""")
+def f_nulls(spark, d):
+    df = t(spark, d, "events").withColumn("k", F.nullif("event_type", F.lit("click")))
+    df = df.withColumn("v", F.when(F.col("k").isNotNull(), F.col("value")))
+    kinds = dict(df.dtypes)
+    make = lambda s: Formula(s).compile(kinds).col
+    return df.select("event_id", make("min(value, 50.0)").alias("low"), make("max(v, 10.0)").alias("high"), make("coalesce(k, 'none')").alias("kind"), make("floor(sqrt(value))").alias("root"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), x -> x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(generate_series(0, (180 * ceil(greatest(0, len(w) - 220) / 180.0))::BIGINT, 180)) AS i FROM w WHERE len(w) > 0)
+SELECT doc_id, i // 180 AS pos, len(w[i + 1:i + 220]) AS n_words, md5(array_to_string(w[i + 1:i + 220], ' ')) AS digest FROM s""")
+def t_chunk(spark, d):
+    df = t(spark, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("pos", "chunk"))
+    return df.select("doc_id", F.col("pos").cast("long").alias("pos"), F.size(F.split("chunk", " ")).cast("long").alias("n_words"), F.md5("chunk").alias("digest"))
+
+
+@query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY doc_id) AS k FROM documents WHERE trim(text) <> '') WHERE k = 1""")
+def t_exact_dedup(spark, d):
+    return dedup.exact(t(spark, d, "documents"), "text", "doc_id").select("doc_id")
+
+
+_SHINGLES = "(SELECT {id} AS id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), i -> array_to_string(w[i:i + 2], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM (SELECT {id}, regexp_split_to_array(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM {table} WHERE trim(text) <> ''))"
+
+
+@query(f"""WITH a AS {_SHINGLES.format(id='doc_id', table='documents')}, e AS (SELECT id, len(s) AS n, unnest(s) AS g FROM a),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS k, any_value(x.n) AS na, any_value(y.n) AS nb FROM e x JOIN e y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
+SELECT a, b, round(k / (na + nb - k), 9) AS similarity FROM p WHERE k / (na + nb - k) >= 0.8""")
+def t_lexical_pairs(spark, d):
+    return dedup.lexical_pairs(t(spark, d, "documents"), "text", "doc_id", least=0.8)
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
+WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""")
+def t_cosine_pairs(spark, d):
+    return dedup.cosine_pairs(t(spark, d, "embeddings"), "embedding", "vec_id", "label", least=0.3)
+
+
+@query("""WITH c AS (SELECT quality, toxic, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL) SELECT quality, toxic, n, greatest(0, 100 - n) AS shortfall FROM c""")
+def t_quota_shortfall(spark, d):
+    df = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+    return df.withColumn("shortfall", F.greatest(F.lit(0), 100 - F.col("n")))
+
+
+@query("""SELECT role, count(*) AS n, count(*) FILTER (text IS NULL OR trim(text) = '') AS blank, count(*) - count(DISTINCT lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS duplicates FROM conversations GROUP BY 1""")
+def t_records(spark, d):
+    norm = T.normalized(F.col("text"))
+    blank = F.coalesce(F.trim("text") == "", F.lit(True))
+    return t(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count(F.when(blank, 1)).alias("blank"), (F.count("*") - F.count_distinct(norm)).alias("duplicates"))
+
+
+@query("""SELECT conv_id, count(*) AS turns, md5(string_agg(role || ':' || text, '|' ORDER BY turn, role, text)) AS digest FROM conversations WHERE text IS NOT NULL GROUP BY 1""")
+def t_chat_reshape(spark, d):
+    rows = t(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    joined = F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "|")
+    return rows.select("conv_id", F.size("m").cast("long").alias("turns"), F.md5(joined).alias("digest"))
+
+
+@query("SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k FROM events")
+def t_json_extract(spark, d):
+    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("""SELECT conv_id, turn, role, sha256(role || chr(10) || coalesce(text, '')) AS key FROM conversations""")
+def t_request_key(spark, d):
+    return t(spark, d, "conversations").select("conv_id", "turn", "role", T.request_key(F.concat(F.col("role"), F.lit("\n"), F.coalesce("text", F.lit("")))).alias("key"))
