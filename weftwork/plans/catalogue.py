@@ -291,7 +291,7 @@ def f_nulls(spark, d):
     return df.select("event_id", make("min(value, 50.0)").alias("low"), make("max(v, 10.0)").alias("high"), make("coalesce(k, 'none')").alias("kind"), make("floor(sqrt(value))").alias("root"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), x -> x <> '') AS w FROM documents),
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(generate_series(0, (180 * ceil(greatest(0, len(w) - 220) / 180.0))::BIGINT, 180)) AS i FROM w WHERE len(w) > 0)
 SELECT doc_id, i // 180 AS pos, len(w[i + 1:i + 220]) AS n_words, md5(array_to_string(w[i + 1:i + 220], ' ')) AS digest FROM s""")
 def t_chunk(spark, d):
@@ -304,7 +304,7 @@ def t_exact_dedup(spark, d):
     return dedup.exact(t(spark, d, "documents"), "text", "doc_id").select("doc_id")
 
 
-_SHINGLES = "(SELECT {id} AS id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), i -> array_to_string(w[i:i + 2], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM (SELECT {id}, regexp_split_to_array(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM {table} WHERE trim(text) <> ''))"
+_SHINGLES = "(SELECT {id} AS id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM (SELECT {id}, regexp_split_to_array(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM {table} WHERE trim(text) <> ''))"
 
 
 @query(f"""WITH a AS {_SHINGLES.format(id='doc_id', table='documents')}, e AS (SELECT id, len(s) AS n, unnest(s) AS g FROM a),
