@@ -48,6 +48,14 @@ def unstage(*tables: DataFrame) -> None:
         remove(table.sparkSession, table._weft_path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished queries now, not when the driver's heap next fills."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

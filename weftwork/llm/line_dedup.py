@@ -5,8 +5,9 @@ words that theirs is hashed to, then by their hash; the table of buckets has a f
 exact results. Two sets with
 a Jaccard similarity of t share a word among their first |x| - ceil(t |x|) + 1, their prefixes, so the join deals
 prefix words to tasks, and pairs of sets that meet at a word pass the length filter and the positional filter (what
-can still follow the shared word must reach the overlap that t asks for) before their whole sets are compared. Words that
-head very many sets are dealt in pairs of chunks.
+can still follow the shared word must reach the overlap that t asks for) before their whole sets are compared. The
+smaller set of a pair must meet within its first |x| - ceil(2t / (1 + t) |x|) + 1 words, as the overlap that t asks for
+is at least 2t / (1 + t) of it. Words that head very many sets are dealt in pairs of chunks.
 
 A line is removed if an earlier one (by doc_id, then line) matches it: it has the same set or a similarity of t.
 
@@ -106,7 +107,7 @@ def unpack(words: bytes) -> np.ndarray:
 
 
 def prefixes(lines: DataFrame, t: float) -> DataFrame:
-    """(word, key, more): the prefix words of each set as 32-bit hashes; more packs the set's 32-bit signature (a bit for each word), its size and the word's place.
+    """(head, key, more): the prefix words of each set. head packs the word's 32-bit hash and half of the set's 64-bit signature (the parities of 64 classes of words), more the other half, the set's size and the word's place.
 
     Sizes and places beyond 16 bits stand at their bound, where the filters let pairs pass.
     """
@@ -125,12 +126,13 @@ def prefixes(lines: DataFrame, t: float) -> DataFrame:
             first = np.cumsum(size) - size
             many = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
             place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-            word = (flat[np.repeat(first, many) + place] >> np.uint64(8)).astype(np.uint32).view(np.int32)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (flat & np.uint64(31)), first) << np.uint64(32)
-            more = np.repeat(bits | np.minimum(size, MOST).astype(np.uint64) << np.uint64(16), many) | np.minimum(place, MOST).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.repeat(key, many)), pa.array(more.view(np.int64))], ["word", "key", "more"])
+            word = flat[np.repeat(first, many) + place] >> np.uint64(8) << np.uint64(32)
+            bits = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), first)
+            head = word | np.repeat(bits >> np.uint64(32), many)
+            more = np.repeat(bits << np.uint64(32) | np.minimum(size, MOST).astype(np.uint64) << np.uint64(16), many) | np.minimum(place, MOST).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), pa.array(np.repeat(key, many)), pa.array(more.view(np.int64))], ["head", "key", "more"])
 
-    return lines.where("words is not null").select("key", "words").mapInArrow(run, "word int, key long, more long")
+    return lines.where("words is not null").select("key", "words").mapInArrow(run, "head long, key long, more long")
 
 
 def hot_words(lines: DataFrame, t: float, bound: int) -> list[tuple[int, int]]:
@@ -141,13 +143,13 @@ def hot_words(lines: DataFrame, t: float, bound: int) -> list[tuple[int, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, int] = {}
         for batch in batches:
-            words, n = np.unique(np.asarray(batch.column(0)), return_counts=True)
+            words, n = np.unique(np.asarray(batch.column(0)) >> 32, return_counts=True)
             for w, k in zip(words.tolist(), n.tolist(), strict=True):
                 held[w] = held.get(w, 0) + k
         kept = {w: k for w, k in held.items() if k >= least}
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(kept), pa.int32()), "n": pa.array(list(kept.values()), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"word": pa.array(list(kept), pa.int64()), "n": pa.array(list(kept.values()), pa.int64())})
 
-    counts = prefixes(lines, t).select("word").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = prefixes(lines, t).select("head").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # A word above the bound reaches the share in one task at least; what the others hold back is less than the bound.
     return [(r["word"], -(-(r["n"] + bound) // bound)) for r in counts.where(F.col("n") > bound // 2).collect()]
 
@@ -156,37 +158,41 @@ def candidates(lines: DataFrame, t: float, *, bound: int = 20_000, most_hot: int
     """(x, y): pairs of set keys that share a prefix word and pass the filters; each once.
 
     Besides length and position, signatures are compared: sets differ in at least as many words as their signatures in
-    bits. All filters leave in every pair that reaches t.
+    bits. All filters leave in every pair that reaches t. Chunks of a hot word take a hash as their word; words that
+    share one only give more pairs to the filters.
     """
     spark = lines.sparkSession
     bound = max(bound, -(-lines.count() * 8 // most_hot))
     hot = hot_words(lines, t, bound)
-    keyed = prefixes(lines, t).withColumn("pair", F.lit(0))
+    keyed, word = prefixes(lines, t), F.shiftright("head", 32)
     if hot:
         k = F.coalesce("k", F.lit(1))
         chunk = F.pmod(F.xxhash64("key", F.lit("chunk")), k).cast("int")
-        keyed = keyed.drop("pair").join(F.broadcast(spark.createDataFrame(hot, "hot int, k int")), F.col("word") == F.col("hot"), "left").withColumns({"k": k, "chunk": chunk})
-        keyed = keyed.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).withColumn("pair", (F.least("chunk", "other") * F.col("k") + F.greatest("chunk", "other")).cast("int"))
-    keyed = keyed.select((F.shiftleft(F.col("word").cast("long"), 32) + F.col("pair")).alias("group"), "key", "more")
+        keyed = keyed.join(F.broadcast(spark.createDataFrame(hot, "hot long, k int")), word == F.col("hot"), "left").withColumns({"k": k, "chunk": chunk})
+        keyed = keyed.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).withColumn("pair", F.least("chunk", "other") * F.col("k") + F.greatest("chunk", "other"))
+        dealt = F.shiftleft(F.xxhash64(word, "pair"), 32).bitwiseOR(F.col("head").bitwiseAND(0xFFFFFFFF))
+        keyed = keyed.select(F.when(F.col("k") > 1, dealt).otherwise(F.col("head")).alias("head"), "key", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[np.asarray(c) for c in b.columns] for b in batches]
         if not held:
             return
-        group, key, more = (np.concatenate(c) for c in zip(*held, strict=True))
-        more = more.view(np.uint64)
+        head, key, more = (np.concatenate(c) for c in zip(*held, strict=True))
+        group, more = head >> 32, more.view(np.uint64)
         order = np.lexsort((more & np.uint64(0xFFFF), key, more >> np.uint64(16) & np.uint64(0xFFFF), group))
-        group, key, more = group[order], key[order], more[order]
+        group, key, more, head = group[order], key[order], more[order], head[order].view(np.uint64)
         new = np.ones(len(key), bool)  # a set that several tasks have stored is here more than once
         new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-        group, key, more = group[new], key[new], more[new]
-        size, place, bits = (more >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), (more & np.uint64(0xFFFF)).astype(np.int64), more >> np.uint64(32)
+        group, key, more, head = group[new], key[new], more[new], head[new]
+        size, place = (more >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), (more & np.uint64(0xFFFF)).astype(np.int64)
+        bits = more >> np.uint64(32) | head << np.uint64(32)
         number = np.concatenate([[0], np.cumsum(group[1:] != group[:-1])])
         # The partners of a row: those after it in its group whose size is at most size / t; they are a range.
         most = np.where(size >= MOST, 1 << 30, np.floor(size / t + 1e-9).astype(np.int64))
         upto = np.searchsorted(number * (1 << 32) + size, number * (1 << 32) + most, side="right")
         many = upto - np.arange(len(key)) - 1
-        rows = np.flatnonzero(many > 0)
+        short = (place <= size - np.ceil(2 * t / (1 + t) * size - 1e-9)) | (size >= MOST)
+        rows = np.flatnonzero((many > 0) & short)
         share = np.cumsum(many[rows]) // 2_000_000
         for part in np.split(rows, np.flatnonzero(np.diff(share)) + 1):
             m = many[part]
@@ -200,14 +206,16 @@ def candidates(lines: DataFrame, t: float, *, bound: int = 20_000, most_hot: int
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
 
     parts = common.parts_for(spark, lines.count() * 8, 500_000)
-    return keyed.repartition(parts, "group").mapInArrow(run, "x long, y long").distinct()
+    return keyed.repartition(parts, F.shiftright("head", 32)).mapInArrow(run, "x long, y long").distinct()
 
 
-def verified(pairs: DataFrame, lines: DataFrame, t: float, *, most_bytes: int = 48 << 20) -> DataFrame:
+def verified(pairs: DataFrame, lines: DataFrame, t: float, *, most_bytes: int = 48 << 20, most_keys: int = 1_000_000) -> DataFrame:
     """The pairs whose whole sets have a similarity of t. The sets are broadcast if they take most_bytes at most, else joined to the pairs."""
     spark = pairs.sparkSession
     sets = lines.where("words is not null").select("key", "words")
     involved = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
+    if pairs.count() * 2 <= most_keys:
+        involved = F.broadcast(involved)
     sets = common.stage(sets.join(involved, sets["key"] == involved["k"], "left_semi").groupBy("key").agg(F.first("words").alias("words")), "involved")
     size = sets.agg(F.coalesce(F.sum(F.octet_length("words") + 40), F.lit(0))).first()[0]
     if size <= most_bytes:
@@ -255,7 +263,10 @@ def duplicate_lines(docs: DataFrame, *, t: float = 0.8) -> tuple[DataFrame, Data
     ranks = spark.sparkContext.broadcast(bucket_ranks(docs))
     lines = common.stage(stored_lines(docs, ranks), "lines")
     pairs = common.stage(candidates(lines, t), "candidates")
+    common.drop_shuffles(spark)
     links = common.stage(verified(pairs, lines, t), "links")
+    common.unstage(pairs)
+    common.drop_shuffles(spark)
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "line")
     firsts = lines.groupBy("key").agg(F.min(place).alias("first"))
     both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
