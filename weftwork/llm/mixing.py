@@ -91,12 +91,12 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", seed: int = 7, size: Colu
     sums = own.groupBy("source", bucket.alias("__bucket")).agg(F.sum("__size").alias("n"))
     before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    sums = sums.join(plan.withColumnRenamed("source", "s"), sums["source"].eqNullSafe(F.col("s")))
-    sums = sums.select(F.col("source").alias("s"), F.col("__bucket").alias("b"), "__before", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("place").alias("__place"))
+    sums = sums.join(plan.withColumnRenamed("source", "__s"), sums["source"].eqNullSafe(F.col("__s")))
+    sums = sums.select("__s", F.col("__bucket").alias("__b"), "__before", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("place").alias("__place"))
     own = own.withColumn("__bucket", bucket)
     inner = Window.partitionBy("source", "__bucket").orderBy("__order", id_col, "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = own.withColumn("__upto", F.sum("__size").over(inner))
-    own = own.join(sums, own["source"].eqNullSafe(sums["s"]) & (own["__bucket"] == sums["b"])).drop("s", "b")
+    own = own.join(sums, own["source"].eqNullSafe(sums["__s"]) & (own["__bucket"] == sums["__b"])).drop("__s", "__b")
     start = F.col("__before") + F.col("__upto") - F.col("__size")
     middle = [start + F.lit(e) * F.col("__source_size") + F.col("__size") / F.lit(2.0) for e in range(epochs)]
     taken = F.array(*[F.when((F.col("__size") > 0) & (m < F.col("__target")), demand_inverse(m / F.col("__target"), F.col("__place"))) for m in middle])

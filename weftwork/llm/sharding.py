@@ -83,11 +83,11 @@ def shard(docs: DataFrame, *, shards: int = 16, bucket_bytes: int = 16 << 20, se
         return stable.select(columns).take(pa.array(order, pa.int64())).append_column("__pos", pa.array(range(len(stable)), pa.int64()))
 
     written = common.stage(scattered.groupBy("__bucket").applyInArrow(run, schema), "shards")
-    counts = written.groupBy("__shard", "__bucket").agg(F.count("*").alias("n"))
+    counts = written.groupBy("__shard", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("__bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    out = written.join(offsets, written["__bucket"] == offsets["b"])
-    return out.select(*docs.columns, "__shard", "__grown", (F.col("before") + F.col("__pos")).alias("__slot"))
+    offsets = counts.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    out = written.join(offsets, written["__bucket"] == offsets["__b"])
+    return out.select(*docs.columns, "__shard", "__grown", (F.col("__before") + F.col("__pos")).alias("__slot"))
 
 
 def hash_of(text: pa.Scalar) -> int:
