@@ -28,8 +28,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All records with their shard and slot."""
-    out = sharding.shard(docs, shards=16)
+    """All records with their shard and slot; columns of those names that the documents had are replaced."""
+    out = sharding.shard(docs.drop("shard", "grown_shard", "slot"), shards=16)
     return out.withColumnsRenamed({"__shard": "shard", "__grown": "grown_shard", "__slot": "slot"})
 
 
