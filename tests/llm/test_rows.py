@@ -36,6 +36,13 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert got and sum(r["score"] for r in got) > 0.7 * sum(r["base_score"] for r in got)
 
 
+def test_model_holds_the_bigrams_of_all_words_at_any_block_size(spark):
+    scores = lambda **o: [r["score"] for r in lm_score.score(docs(spark), **o).orderBy("doc_id", "n_tokens", "score").collect()]
+    whole = scores(bits=1 << 22)
+    assert scores(bits=1 << 22, head=1) == whole
+    assert sum(scores(bits=1 << 10)) == pytest.approx(sum(whole), rel=0.02)
+
+
 def test_shards(spark):
     data = rows()
     out = sharding.shard(docs(spark, data), shards=4, bucket_bytes=20_000)

@@ -2,9 +2,11 @@
 
 The counts of all training words and bigrams are gathered exactly, in two grouped sums over hashes. An n-gram with count
 c enters the filter once for each level 1 .. 1 + floor(log_b(c / 2)), so that its quantised count comes back by probing
-level after level until one is missing; counts below 2 aren't stored. The filter has a fixed number of bits, whatever the corpus, and is
-broadcast; if the n-grams are too many for its error rate, the least count of stored bigrams rises, as the histogram of
-counts says. Bigrams are over the head vocabulary, the `head` most frequent words.
+level after level until one is missing; counts below 2 aren't stored. The size of the filter follows the sum of all
+levels. It is cut into blocks by key, of at most `bits` bits each, which tasks fill and leave in the shared folder; a
+task that scores sorts the n-grams of many texts by key and reads block after block, so that it never holds more than
+one. Words and bigrams of all training documents are in it; `head` only says how many words have their exact counts by
+broadcast.
 
 P(w | h) = a_h * c(h w) / c(h) + (1 - a_h) * P(w), with quantised counts (the lower bound above, the upper below, so
 that quantising can't add up to more than 1) and P(w) from the mean count of the word's level. The a_h, by the level of
@@ -51,30 +53,44 @@ def level_of(counts: np.ndarray, base: float) -> np.ndarray:
 
 
 class LogFilter:
-    """A Bloom filter of (key, level) in blocks by key: each block can be filled by a task of its own."""
+    """A Bloom filter of (key, level) in blocks by key, each a file of the shared folder that one task fills; a probe holds one block at a time."""
 
-    def __init__(self, blocks: list[np.ndarray], hashes: int, most: int):
-        self.bits, self.hashes, self.most = np.concatenate(blocks), hashes, most
-        self.blocks, self.block_bits = len(blocks), len(blocks[0]) * 64
+    def __init__(self, path: str, filled: set[int], blocks: int, block_bits: int, hashes: int, most: int):
+        self.path, self.filled, self.blocks, self.block_bits, self.hashes, self.most = path, filled, blocks, block_bits, hashes, most
 
     @staticmethod
-    def places(keys: np.ndarray, level: int, i: int, blocks: int, block_bits: int) -> np.ndarray:
-        block = (mix(keys) >> np.uint64(40)) % np.uint64(blocks)
+    def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+        """Blocks are ranges of the keys, which are spread evenly."""
+        return ((keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+
+    @staticmethod
+    def places(keys: np.ndarray, level: int, i: int, block_bits: int) -> np.ndarray:
         a = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
-        inside = (a + np.uint64(i) * (a >> np.uint64(32) | np.uint64(1))) % np.uint64(block_bits)
-        return block * np.uint64(block_bits) + inside
+        return (a + np.uint64(i) * (a >> np.uint64(32) | np.uint64(1))) % np.uint64(block_bits)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised level of each key: probed upwards until a level is missing."""
-        out, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        """The quantised level of each of the ascending keys: probed upwards until a level is missing."""
+        out = np.zeros(len(keys), np.int64)
+        if not len(keys):
+            return out
+        system, path = common.file_system(self.path)
+        bounds = np.searchsorted(self.block_of(keys, self.blocks), np.arange(self.blocks + 1))
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            if b in self.filled:
+                with system.open_input_stream(f"{path}/{b:06d}", compression=None) as stream:
+                    bits = np.frombuffer(stream.read(), np.uint64)
+                self._probe(bits, keys[bounds[b] : bounds[b + 1]], out[bounds[b] : bounds[b + 1]])
+        return out
+
+    def _probe(self, bits: np.ndarray, keys: np.ndarray, out: np.ndarray) -> None:
+        live = np.arange(len(keys))
         for level in range(1, self.most + 1):
             for i in range(self.hashes):
-                at = self.places(keys[live], level, i, self.blocks, self.block_bits)
-                live = live[(self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                at = self.places(keys[live], level, i, self.block_bits)
+                live = live[(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
                 if not len(live):
-                    return out
+                    return
             out[live] = level
-        return out
 
 
 def token_rows(ids: list, texts: list):
@@ -114,35 +130,44 @@ def unigrams(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, c long, a long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
-def bigrams(docs: DataFrame, head_keys) -> DataFrame:
-    """(key, c): the count of each bigram of head words in training documents."""
+def token_groups(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, tokens, number of tokens of each) of runs of texts of about so many tokens, which are probed at once."""
+    held, size, first = [], 0, 0
+    for at, to in wordhash.chunks(texts):
+        held.append(token_rows([], texts[at:to]))
+        size += len(held[-1][0])
+        if size >= most or to == len(texts):
+            yield first, to, np.concatenate([t for t, _ in held]), np.concatenate([c for _, c in held])
+            held, size, first = [], 0, to
+
+
+def bigrams(docs: DataFrame) -> DataFrame:
+    """(key, c): the count of each bigram in training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = Counts(1, 4_000_000), head_keys.value
+        total = Counts(1, 4_000_000)
         for batch in batches:
-            rows = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not held_out(i)]
-            for at, to in wordhash.chunks([t for _, t in rows]):
-                tokens, counts = token_rows([], [t for _, t in rows[at:to]])
-                in_head = known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens if len(known) else np.zeros(len(tokens), bool)
-                before = contexts(tokens, counts)
-                ok = in_head & (np.concatenate([[True], in_head[:-1]]) | (before == BEGIN))
-                keys, n = np.unique(pair(before[ok], tokens[ok]), return_counts=True)
-                total.add(keys, n)
+            texts = [t for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not held_out(i)]
+            for at, to in wordhash.chunks(texts):
+                tokens, counts = token_rows([], texts[at:to])
+                total.add(*np.unique(pair(contexts(tokens, counts), tokens), return_counts=True))
         total.merge()
         yield pa.RecordBatch.from_arrays([pa.array(total.keys.view(np.int64)), pa.array(total.sums[:, 0])], ["key", "c"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def build_filter(grams: DataFrame, least_pair: int, *, base: float, bits: int, hashes: int, most: int, blocks: int = 64) -> LogFilter:
-    """grams (key, c, pair): the filter of those with a count of 2 or more, bigrams of least_pair or more; each task fills whole blocks."""
-    block_bits = bits // blocks // 64 * 64
-    stored = grams.where((F.col("c") >= 2) & (~F.col("pair") | (F.col("c") >= least_pair))).select("key", "c")
+def build_filter(grams: DataFrame, total: int, *, base: float, bits: int, hashes: int, most: int) -> LogFilter:
+    """grams (key, c): the filter of those with a level, of total levels in all; its size follows total, that of a block is at most bits."""
+    all_bits = int(total * hashes / np.log(2)) + 1
+    blocks = -(-all_bits // bits)
+    # Keys are dealt by chance: room for a small block's share above the mean.
+    block_bits = -(-int(all_bits / blocks * (1 + 4 / np.sqrt(max(1, total / blocks)))) // 64) * 64
+    path = common.new_path(grams.sparkSession, "filter")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column(0)).view(np.uint64)
-            block = ((mix(keys) >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
+            block = LogFilter.block_of(np.asarray(batch.column(0)).view(np.uint64), blocks)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block)], ["key", "c", "block"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,16 +181,14 @@ def build_filter(grams: DataFrame, least_pair: int, *, base: float, bits: int, h
                 for level in range(1, int(upto.max()) + 1):
                     of, upto = of[upto >= level], upto[upto >= level]
                     for i in range(hashes):
-                        at = LogFilter.places(of, level, i, blocks, block_bits) - np.uint64(b * block_bits)
+                        at = LogFilter.places(of, level, i, block_bits)
                         np.bitwise_or.at(own, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         for b, own in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([own.tobytes()], pa.binary())], ["block", "bits"])
+            common.put_file(f"{path}/{b:06d}", lambda f, own=own: f.write(own.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([b])], ["block"])
 
-    filled = stored.mapInArrow(numbered, "key long, c long, block long").repartition(blocks, "block").mapInArrow(fill, "block long, bits binary")
-    out = [np.zeros(block_bits // 64, np.uint64) for _ in range(blocks)]
-    for row in filled.toLocalIterator():
-        out[row["block"]] |= np.frombuffer(row["bits"], np.uint64)
-    return LogFilter(out, hashes, most)
+    filled = grams.mapInArrow(numbered, "key long, c long, block long").repartition(blocks, "block").mapInArrow(fill, "block long")
+    return LogFilter(path, {r["block"] for r in filled.collect()}, blocks, block_bits, hashes, most)
 
 
 class Model:
@@ -177,10 +200,11 @@ class Model:
 
     def parts(self, tokens: np.ndarray, before: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(context level, bigram probability, word probability) of each token; less: own counts to take out."""
-        words, back = np.unique(np.concatenate([tokens, before]), return_inverse=True)
+        words, back = np.unique(np.append(tokens, BEGIN), return_inverse=True)
         level = self.filter.levels(words)
         level[words == BEGIN] = min(len(self.means) - 1, int(level_of(np.array([self.starts]), self.base)[0]))
-        of_word, of_before = level[back[: len(tokens)]], level[back[len(tokens) :]]
+        of_word = level[back[:-1]]
+        of_before = np.where(before == BEGIN, level[back[-1]], np.append(level[back[-1]], of_word[:-1]))
         keys, at = np.unique(pair(before, tokens), return_inverse=True)
         both = self.filter.levels(keys)[at]
         seen = np.where(both > 0, 2 * self.base ** (both - 1.0), 0.0)
@@ -206,8 +230,7 @@ def fit_mixture(docs: DataFrame, model: Model, *, sample_rows: int = 2000, steps
         held = np.zeros(levels * BINS, np.int64)
         for batch in batches:
             texts = [t for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not held_out(i)]
-            for at, to in wordhash.chunks(texts):
-                tokens, counts = token_rows([], texts[at:to])
+            for _, _, tokens, counts in token_groups(texts):
                 level, two, one = shared.value.parts(tokens, contexts(tokens, counts), less=1)
                 bins = np.where(two > 0, np.clip(np.floor(np.log2(np.maximum(two, 1e-30) / one) * 2 + BINS / 2), 1, BINS - 1), 0).astype(np.int64)
                 held += np.bincount(level * BINS + bins, minlength=len(held))
@@ -227,7 +250,7 @@ def fit_mixture(docs: DataFrame, model: Model, *, sample_rows: int = 2000, steps
     return a
 
 
-def score(docs: DataFrame, *, head: int = 1 << 19, base: float = 1.5, bits: int = 1 << 28, hashes: int = 6) -> DataFrame:
+def score(docs: DataFrame, *, head: int = 1 << 19, base: float = 1.5, bits: int = 1 << 25, hashes: int = 6) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text), a row for each."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -246,7 +269,7 @@ def score(docs: DataFrame, *, head: int = 1 << 19, base: float = 1.5, bits: int
     order = np.argsort(keys)
     keys, exact = keys[order], (table["c"].to_numpy().astype(np.int64)[order] if held else np.zeros(0, np.int64))
     head_keys = spark.sparkContext.broadcast(keys)
-    pairs = common.stage(bigrams(docs, head_keys), "bigrams")
+    pairs = common.stage(bigrams(docs), "bigrams")
 
     # Levels of the filter: how many words are at each, and their mean count. Levels by the same rule as level_of().
     level = F.when(F.col("c") < 2, F.lit(0)).otherwise(F.lit(1) + F.floor(F.log(F.col("c") / 2) / F.lit(float(np.log(base))) + 1e-9)).cast("int")
@@ -254,15 +277,9 @@ def score(docs: DataFrame, *, head: int = 1 << 19, base: float = 1.5, bits: int
     for r in words.where("c > 0").groupBy(level.alias("l")).agg(F.count("*").alias("n"), F.sum("c").alias("s")).collect():
         means[r["l"]] = r["s"] / r["n"] if r["l"] else 0.5
         norm += r["n"] * (means[r["l"]] + 0.5)
-    capacity = bits * np.log(2) / hashes
-    of_words = words.where("c >= 2").agg(F.coalesce(F.sum(level), F.lit(0))).first()[0]
-    sums, least_pair = 0, 1 << 40
-    for r in sorted(pairs.where("c >= 2").groupBy(F.least("c", F.lit(100_000)).alias("n")).agg(F.sum(level).alias("s")).collect(), key=lambda r: -r["n"]):
-        if of_words + sums + r["s"] > capacity:
-            break
-        sums, least_pair = sums + r["s"], r["n"]
-    grams = words.select("key", "c", F.lit(False).alias("pair")).unionByName(pairs.select("key", "c", F.lit(True).alias("pair")))
-    model = Model(build_filter(grams, least_pair, base=base, bits=bits, hashes=hashes, most=most), base, means, norm, starts)
+    grams = words.select("key", "c").unionByName(pairs).where("c >= 2")
+    levels = grams.agg(F.coalesce(F.sum(level), F.lit(0))).first()[0]
+    model = Model(build_filter(grams, levels, base=base, bits=bits, hashes=hashes, most=most), base, means, norm, starts)
     common.unstage(pairs)
     model.mixture = fit_mixture(docs, model)
     shared = spark.sparkContext.broadcast((model, exact))
@@ -275,8 +292,7 @@ def score(docs: DataFrame, *, head: int = 1 << 19, base: float = 1.5, bits: int
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for at, to in wordhash.chunks(texts):
-                tokens, counts = token_rows([], texts[at:to])
+            for at, to, tokens, counts in token_groups(texts):
                 n, first = to - at, np.cumsum(counts) - counts
                 place = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
                 in_head = known[place] == tokens if len(known) else np.zeros(len(tokens), bool)
