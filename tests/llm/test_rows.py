@@ -43,6 +43,14 @@ def test_model_holds_the_bigrams_of_all_words_at_any_block_size(spark):
     assert sum(scores(bits=1 << 10)) == pytest.approx(sum(whole), rel=0.02)
 
 
+def test_what_training_saw_once_is_known(spark):
+    train, held = [i for i in range(40) if not lm_score.held_out(i)], [i for i in range(40) if lm_score.held_out(i)]
+    data = [(i, prose(i, 40), "en", "a") for i in train] + [(train[0], "once twice thrice", "en", "a")]
+    data += [(held[0], "once twice thrice", "en", "a"), (held[1], "thrice once twice", "en", "a"), (held[2], "never nowhere none", "en", "a")]
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs(spark, data), bits=1 << 22).where("held_out").collect()}
+    assert got[held[0]] > got[held[2]] + 1 and got[held[1]] > got[held[2]] + 1 and got[held[0]] >= got[held[1]]
+
+
 def test_shards(spark):
     data = rows()
     out = sharding.shard(docs(spark, data), shards=4, bucket_bytes=20_000)

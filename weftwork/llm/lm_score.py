@@ -1,8 +1,8 @@
 """Operator 4: scores of a bigram language model kept in a log-frequency Bloom filter.
 
 The counts of all training words and bigrams are gathered exactly, in two grouped sums over hashes. An n-gram with count
-c enters the filter once for each level 1 .. 1 + floor(log_b(c / 2)), so that its quantised count comes back by probing
-level after level until one is missing; counts below 2 aren't stored. The size of the filter follows the sum of all
+c enters the filter once for each level 1 .. 1 + floor(log_b c), so that its quantised count comes back by probing
+level after level until one is missing; level 1 stands for a count of 1. The size of the filter follows the sum of all
 levels. It is cut into blocks by key, of at most `bits` bits each, which tasks fill and leave in the shared folder; a
 task that scores sorts the n-grams of many texts by key and reads block after block, so that it never holds more than
 one. Words and bigrams of all training documents are in it; `head` only says how many words have their exact counts by
@@ -48,8 +48,13 @@ def pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def level_of(counts: np.ndarray, base: float) -> np.ndarray:
-    """0 below 2, else 1 + floor(log_base(c / 2))."""
-    return np.where(counts < 2, 0, 1 + np.floor(np.log(np.maximum(counts, 2) / 2) / np.log(base) + 1e-9)).astype(np.int64)
+    """0 for none, else 1 + floor(log_base(c))."""
+    return np.where(counts < 1, 0, 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(base) + 1e-9)).astype(np.int64)
+
+
+def least_count(levels: np.ndarray, base: float) -> np.ndarray:
+    """The least count of each level above 0."""
+    return np.ceil(base ** (levels - 1.0) - 1e-6)
 
 
 class LogFilter:
@@ -207,8 +212,8 @@ class Model:
         of_before = np.where(before == BEGIN, level[back[-1]], np.append(level[back[-1]], of_word[:-1]))
         keys, at = np.unique(pair(before, tokens), return_inverse=True)
         both = self.filter.levels(keys)[at]
-        seen = np.where(both > 0, 2 * self.base ** (both - 1.0), 0.0)
-        context = np.where(of_before > 0, 2 * self.base ** of_before.astype(float), 1.0)
+        seen = np.where(both > 0, least_count(both, self.base), 0.0)
+        context = np.where(of_before > 0, np.maximum(least_count(of_before, self.base), least_count(of_before + 1, self.base) - 1), 1.0)
         ratio = np.minimum(1.0, np.maximum(0.0, seen - less) / np.maximum(1.0, context - less))
         return of_before, np.where(of_before > 0, ratio, 0.0), (np.maximum(0.0, self.means[of_word] - less * (of_word > 0)) + 0.5) / self.norm
 
@@ -256,7 +261,7 @@ def score(docs: DataFrame, *, head: int = 1 << 19, base: float = 1.5, bits: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = common.stage(unigrams(docs), "unigrams")
     total, kinds, starts = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.max(F.when(F.col("key") == int(END), F.col("c"))), F.lit(0))).first()
-    most = int(level_of(np.array([max(2, total)]), base)[0])
+    most = int(level_of(np.array([max(1, total)]), base)[0])
     # The head: all words of at least so many tokens, as many as fit; the histogram has a bounded number of rows.
     histogram = sorted(((r["n"], r["w"]) for r in words.groupBy(F.least("a", F.lit(100_000)).alias("n")).agg(F.count("*").alias("w")).collect()), reverse=True)
     least, held = 1 << 62, 0
@@ -272,12 +277,12 @@ def score(docs: DataFrame, *, head: int = 1 << 19, base: float = 1.5, bits: int
     pairs = common.stage(bigrams(docs), "bigrams")
 
     # Levels of the filter: how many words are at each, and their mean count. Levels by the same rule as level_of().
-    level = F.when(F.col("c") < 2, F.lit(0)).otherwise(F.lit(1) + F.floor(F.log(F.col("c") / 2) / F.lit(float(np.log(base))) + 1e-9)).cast("int")
-    means, norm = np.full(most + 1, 0.5), 1.0
+    level = F.when(F.col("c") < 1, F.lit(0)).otherwise(F.lit(1) + F.floor(F.log("c") / F.lit(float(np.log(base))) + 1e-9)).cast("int")
+    means, norm = np.zeros(most + 1), 0.5
     for r in words.where("c > 0").groupBy(level.alias("l")).agg(F.count("*").alias("n"), F.sum("c").alias("s")).collect():
-        means[r["l"]] = r["s"] / r["n"] if r["l"] else 0.5
+        means[r["l"]] = r["s"] / r["n"]
         norm += r["n"] * (means[r["l"]] + 0.5)
-    grams = words.select("key", "c").unionByName(pairs).where("c >= 2")
+    grams = words.select("key", "c").unionByName(pairs).where("c > 0")
     levels = grams.agg(F.coalesce(F.sum(level), F.lit(0))).first()[0]
     model = Model(build_filter(grams, levels, base=base, bits=bits, hashes=hashes, most=most), base, means, norm, starts)
     common.unstage(pairs)
