@@ -41,6 +41,25 @@ def test_token_files_against_the_library(spark):
     assert token_store.token_digests(docs(spark, []), TOKENIZER).count() == 0
 
 
+def test_op1_is_the_default_encode(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    data = [(1, "a<|endoftext|>b", "en", "a"), (2, "x\ua7cb1\U00010d40 \ua7cb!", "en", "a"), *((d, t, "en", "a") for d, t, *_ in rows() if d and d > 7)]
+    docs(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for d, t, *_ in data}
+    assert 50256 in expected[1]
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in queries.op1_token_files(spark, str(tmp_path)).collect()}
+    assert got == {d: (len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x))) for d, x in expected.items()}
+
+
+def test_word_classes_are_the_library_s():
+    encoder = token_store.WordEncoder(TOKENIZER)
+    texts = [f"a{c}1{c} {c}" for c in map(chr, [*range(0x20, 0xD800, 7), *range(0xE000, 0x20000, 7), 0xA7CB, 0x10D40, 0x1C, 0x85])]
+    ids, counts = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_media_of_texts(spark):
     got = mpeg_audio.media_digests(docs(spark)).collect()
     texts = sorted((d is not None, d or 0, (t or "").encode()) for d, t, *_ in rows())

@@ -17,7 +17,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
-    return token_store.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_store.token_digests(table(spark, sf_dir, "documents"), tokenizer_path(), added=True)
 
 
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,29 +99,31 @@ class WordEncoder:
 
     The words are those of the byte-level pattern, whose runs of letters, digits, other signs and white space numpy
     finds for many texts at once; the library's model turns a word into ids. Texts with an apostrophe, which may start
-    a contraction, go to the library whole, as do all if the file isn't of this kind.
+    a contraction, or with an added token go to the library whole, as do all if the file isn't of this kind. added: the
+    content of an added token in a text is that token, as by the library's default; else special tokens are plain text.
     """
 
-    def __init__(self, path: str, bits: int = 22):
+    def __init__(self, path: str, bits: int = 22, added: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         kind = json.loads(self.tokenizer.to_str())
         before = kind["pre_tokenizer"] or {}
         self.known = kind["normalizer"] is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self.model, self.letters, self.bits = self.tokenizer.model, _byte_letters(), bits
         self.table_of = str.maketrans({chr(b): c for b, c in enumerate(self.letters)})
-        self.kinds = np.array([self._kind(chr(i)) for i in range(0x3000)], np.uint8)
+        self.whole = ["'", *(t["content"] for t in kind["added_tokens"] if t["content"] and (added or not t["special"]))]
+        self.kinds = np.array([self._kind(chr(i)) for i in range(0x3000)] if self.known else [], np.uint8)
         self.powers = np.ones(1, np.uint64)
         self._clear()
 
-    @staticmethod
-    def _kind(c: str) -> int:
-        """1 letter, 2 number, 3 white space, 0 other."""
-        import unicodedata
-
-        return 3 if c.isspace() and c not in "\x1c\x1d\x1e\x1f" else {"L": 1, "N": 2}.get(unicodedata.category(c)[0], 0)
+    def _kind(self, c: str) -> int:
+        """1 letter, 2 number, 3 white space, 0 other: what the library's pattern joins c with."""
+        if "\ud800" <= c <= "\udfff":
+            return 0
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        return next((k for k, x in ((1, "a"), (2, "1"), (0, "!")) if len(split(x + c)) == 1), 3)
 
     def _clear(self) -> None:
         self.table = WordTable(self.bits)
@@ -165,7 +167,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
-        odd = [i for i, x in enumerate(texts) if x and (not self.known or "'" in x)]
+        odd = [i for i, x in enumerate(texts) if x and (not self.known or any(k in x for k in self.whole))]
         if odd:
             whole = {i: np.array(e.ids, np.uint32) for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True)}
             ids, sizes = self.encode(["" if i in whole else x for i, x in enumerate(texts)])
@@ -200,14 +202,14 @@ class WordEncoder:
         return ids, np.diff(bounds)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, added: bool) -> WordEncoder:
     """One for each Python worker; it serves all tasks of the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = WordEncoder(path, added=added)
+    return _ENCODERS[path, added]
 
 
 def width(tokenizer_path: str) -> str:
@@ -217,13 +219,13 @@ def width(tokenizer_path: str) -> str:
     return "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, chunk_chars: int = 1_000_000) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, chunk_chars: int = 1_000_000, added: bool = False) -> DataFrame:
     """(doc_id, ids): the ids of each whole text and the end id, little-endian and unsigned, of width()."""
     kind = width(tokenizer_path)
     unit = int(kind[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path, added)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             at = 0
@@ -365,10 +367,10 @@ def read_files(spark: SparkSession, out_uri: str, manifest: list, *, with_ids: b
     return files.mapInArrow(run, schema)
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, *, end_id: int = 0, file_bytes: int = 16 << 20) -> list:
+def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, *, end_id: int = 0, file_bytes: int = 16 << 20, added: bool = False) -> list:
     """Tokenises docs (doc_id, text) and writes the files; their manifest, a row for each file."""
     kind = width(tokenizer_path)
-    tokens = common.stage(tokenize(docs, tokenizer_path, end_id=end_id), "tokens")
+    tokens = common.stage(tokenize(docs, tokenizer_path, end_id=end_id, added=added), "tokens")
     size = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     files = common.parts_for(docs.sparkSession, size, file_bytes)
     manifest = write_files(tokens, id_ranks(tokens, kind), out_uri, files=files, kind=kind).collect()
@@ -376,8 +378,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, *, end
     return manifest
 
 
-def token_digests(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0) -> DataFrame:
+def token_digests(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, added: bool = False) -> DataFrame:
     """Writes the files to the shared folder and reads them back: (doc_id, start, n_tokens, ids_crc32)."""
     spark = docs.sparkSession
     out = common.new_path(spark, "token-files")
-    return read_files(spark, out, write_token_files(docs, tokenizer_path, out, end_id=end_id), with_ids=False)
+    return read_files(spark, out, write_token_files(docs, tokenizer_path, out, end_id=end_id, added=added), with_ids=False)
