@@ -118,6 +118,17 @@ def test_language_is_right_on_held_out_documents(spark):
     assert len(got) > 300 and sum(r["language"] == r["lang"] for r in got) >= 0.97 * len(got)
 
 
+def test_every_label_is_in_the_language_model(spark):
+    words = lambda i: f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 2} " * 5
+    data = [(i, words(i), f"l{i:02}", "a") for i in range(70)] + [(1000 + i, "the and of is not", "en", "a") for i in range(4000)]
+    names, table = language.fit(docs(spark, data), sample_rows=300)
+    assert names == sorted({x[2] for x in data}) and table.shape[1] == 71
+    for i in range(70):
+        grams, _ = language.trigrams([words(i)])
+        assert names[int(table[grams].sum(axis=0).argmax())] == f"l{i:02}"
+    assert language._quotas({"a": 10, "b": 5000, "c": 9000}, 3000) == {"a": 10, "b": 1495, "c": 1495}
+
+
 def test_language_of_odd_rows(spark):
     got = {r["doc_id"]: r for r in language.of_documents(docs(spark)).collect()}
     assert not got[4]["accepted"] and not got[5]["accepted"] and not got[9]["accepted"] and got[1]["language"] == "en" and got[4]["text_language"] is None

@@ -1,7 +1,7 @@
 """Operator 7: language identification by Bayesian evidence fusion.
 
 The likelihood of a text under each language comes from byte trigrams (naive Bayes, fitted on a bounded sample of
-labelled rows: at most `sample_rows`, chosen by a hash of the id). It is tempered to at most `evidence` trigrams' worth,
+labelled rows: at most `sample_rows`, in equal shares of the labels, chosen by a hash of the id; all labels take part). It is tempered to at most `evidence` trigrams' worth,
 for neighbouring trigrams aren't independent. Declared language of the markup and the suffix of the address add their
 own likelihoods. The prior is that of the host, smoothed towards its domain's and that towards all rows'; it comes from
 grouped sums of the texts' posteriors, without the row's own.
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm import common
@@ -46,10 +46,29 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return mixed[inside].astype(np.int64), counts
 
 
-def fit(docs: DataFrame, *, label: str = "lang", sample_rows: int = 3000, most_languages: int = 64) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities by bucket and language) from at most sample_rows labelled rows of docs (doc_id, text, label)."""
-    chosen = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = docs.join(F.broadcast(chosen.distinct()), docs["doc_id"] == chosen["__id"], "left_semi").select(label, "text")
+def _quotas(sizes: dict[str, int], rows: int) -> dict[str, int]:
+    """The rows of each label: equal shares of `rows`, one at least; what a rare label leaves goes to the others."""
+    out: dict[str, int] = {}
+    for i, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(n, max(1, rows // (len(sizes) - i)))
+        rows -= out[name]
+    return out
+
+
+def fit(docs: DataFrame, *, label: str = "lang", sample_rows: int = 3000) -> tuple[list[str], np.ndarray]:
+    """(languages, log probabilities by bucket and language) from at most sample_rows labelled rows of docs (doc_id, text, label), or one of each label where there are more labels."""
+    key = F.xxhash64("__id")
+    labelled = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).alias("__label"))
+    sizes = {r["__label"]: (r["n"], r["least"]) for r in labelled.groupBy("__label").agg(F.count("*").alias("n"), F.min(key).alias("least")).collect()}
+    if not sizes:
+        return [], np.zeros((BUCKETS, 0), np.float32)
+    quotas = _quotas({k: n for k, (n, _) in sizes.items()}, sample_rows)
+    # Of each label about twice its quota by hash, and its least hash, so that the ranking meets few rows.
+    upto = [(k, quotas[k], max(least, ((1 << 64) - 1) * min(n, 2 * quotas[k] + 100) // n - (1 << 63))) for k, (n, least) in sizes.items()]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(upto, "__label string, __quota long, __upto long"))
+    rank = F.row_number().over(Window.partitionBy("__label").orderBy(key, "__id"))
+    chosen = labelled.join(bounds, "__label").where(key <= F.col("__upto")).withColumn("__rank", rank).where("__rank <= __quota").select("__id", "__label").distinct()
+    sample = docs.join(F.broadcast(chosen), (docs["doc_id"] == chosen["__id"]) & (docs[label] == chosen["__label"]), "left_semi").select(label, "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -68,7 +87,7 @@ def fit(docs: DataFrame, *, label: str = "lang", sample_rows: int = 3000, most_l
     found: dict[str, np.ndarray] = {}
     for name, bucket, n in rows.toLocalIterator():
         found.setdefault(name, np.zeros(BUCKETS))[bucket] += n
-    names = sorted(sorted(found, key=lambda k: (-found[k].sum(), k))[:most_languages])
+    names = sorted(found)
     if not names:
         return [], np.zeros((BUCKETS, 0), np.float32)
     counts = np.stack([found[k] for k in names], axis=1) + 0.1
