@@ -55,6 +55,7 @@ def test_op1_is_the_default_encode(spark, tmp_path):
 
 def test_word_classes_are_the_library_s():
     encoder = token_store.WordEncoder(TOKENIZER)
+    assert [encoder._kind(c) for c in "\ua7cb\U00010d40\x1c\x85"] == [1, 2, 0, 3]
     texts = [f"a{c}1{c} {c}" for c in map(chr, [*range(0x20, 0xD800, 7), *range(0xE000, 0x20000, 7), 0xA7CB, 0x10D40, 0x1C, 0x85])]
     ids, counts = encoder.encode(texts)
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
