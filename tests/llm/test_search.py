@@ -133,8 +133,8 @@ def _lines() -> list[tuple]:
     return [*out, (41, None, "en", "a"), (42, "", "en", "a"), (None, out[0][1], "en", "a"), (3, out[3][1], "en", "b")]
 
 
-@pytest.mark.parametrize("bound", [20_000, 6])
-def test_line_dedup(spark, bound, monkeypatch):
+@pytest.mark.parametrize(("bound", "class_bound"), [(20_000, 2048), (6, 5), (20_000, 30)])
+def test_line_dedup(spark, bound, class_bound):
     data = _lines()
     lines = {}
     for doc, text, *_ in data:
@@ -144,14 +144,11 @@ def test_line_dedup(spark, bound, monkeypatch):
     sets = set(lines.values())
     near = {s: {o for o in sets if o != s and len(s & o) >= 0.8 * len(s | o) - 1e-9} for s in sets}
     removed = {at for at, s in lines.items() if any(o < at and (t == s or t in near[s]) for o, t in lines.items())}
-    plain = line_dedup.candidates
-    monkeypatch.setattr(line_dedup, "candidates", lambda x, t: plain(x, t, bound=bound, most_hot=10**6))
-    got, links = line_dedup.duplicate_lines(docs(spark, data))
+    got = line_dedup.duplicate_lines(docs(spark, data), bound=bound, class_bound=class_bound)
     got = {(float("inf") if r["doc_id"] is None else r["doc_id"], r["line"]): (r["removed"], r["links"]) for r in got.collect()}
     again = {(d, i) for d, i in removed if d != 3}
     assert {at for at, (gone, _) in got.items() if gone and at[0] != 3} == again and set(got) == set(lines)
     assert {at: n for at, (_, n) in got.items()} == {at: len(near[s]) for at, s in lines.items()}
-    assert links.count() * 2 == sum(map(len, near.values()))
     report = line_dedup.line_report(docs(spark, data))
     assert report.count() == len(data)
     assert line_dedup.line_report(docs(spark, [])).count() == 0

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 _STAGED: list[tuple[SparkSession, str]] = []
 _OWN: list[str] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,10 +34,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage and survives lost executors."""
+    """Writes df as a table in the shared folder and reads it back, which cuts its lineage and survives lost executors. The shuffle files of the write go with it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out
@@ -48,14 +54,6 @@ def unstage(*tables: DataFrame) -> None:
         remove(table.sparkSession, table._weft_path)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished queries now, not when the driver's heap next fills."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

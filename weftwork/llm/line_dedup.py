@@ -2,14 +2,20 @@
 
 A line is the set of its words. All words are ordered by rarity: by the count, over the whole corpus, of the bucket of
 words that theirs is hashed to, then by their hash; the table of buckets has a fixed size, and any fixed order gives
-exact results. Two sets with
-a Jaccard similarity of t share a word among their first |x| - ceil(t |x|) + 1, their prefixes, so the join deals
-prefix words to tasks, and pairs of sets that meet at a word pass the length filter and the positional filter (what
-can still follow the shared word must reach the overlap that t asks for) before their whole sets are compared. The
-smaller set of a pair must meet within its first |x| - ceil(2t / (1 + t) |x|) + 1 words, as the overlap that t asks for
-is at least 2t / (1 + t) of it. Words that head very many sets are dealt in pairs of chunks.
+exact results. Two sets with a Jaccard similarity of t share a word among their first |x| - ceil(t |x|) + 1, their
+prefixes, so the join deals prefix words to tasks. Sets that meet at a word are candidates if they pass the length
+filter, the positional filter (what can still follow the shared word must reach the overlap that t asks for) and a
+filter by signatures: parities of classes of words, of which sets differ in at most as many as they differ in words.
+The smaller set of a pair must meet within its first |x| - ceil(2t / (1 + t) |x|) + 1 words, as the overlap that t
+asks for is at least 2t / (1 + t) of it. Words that head very many sets are dealt in pairs of chunks.
+
+Candidate pairs never become rows. A task hands on the forest that joins its candidates, and the components of all
+forests are classes within which every pair of sets that reaches t lies. The whole sets of a class then meet in one
+task (a large class in pairs of chunks), which compares all its pairs exactly and hands on, for each set, the number of
+its links and the first place of a partner. So the rows grow with the lines, whatever the size of a group.
 
 A line is removed if an earlier one (by doc_id, then line) matches it: it has the same set or a similarity of t.
+A set's identity is 128 bits of hash of its 64-bit word hashes; sets are compared by 40 bits of each word's hash.
 
 Defined results: ASCII case doesn't count; lines without words never match; null and empty texts have no lines that
 match; rows of one doc_id share their line numbers, equal lines among them are one; a null doc_id comes last; an empty
@@ -26,260 +32,401 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm import common, wordhash
+from weftwork.llm.components import components
 from weftwork.llm.wordhash import mix
 
 WIDE = 5  # bytes of a word's hash in a stored set
 BUCKETS = 18  # bits of the table of counts
 LAST = (1 << 63) - 1
 MOST = 0xFFFF
+WIDEST = 1024  # bits of the longest signature
+AT_ONCE = 2_000_000
 
 
-def line_sets(texts: list[str | None], counts: np.ndarray | None = None):
-    """(text, line number, set hash, size, first word) of each line that has words, and the words of all sets in a row, those of a set by rarity."""
+def line_sets(texts: list[str | None]):
+    """(text, line number, key, second key, size, first word) of each line that has words, and the words of all sets in a row."""
     raw = [x or "" for x in texts]
     hashes, _, start = wordhash.words(raw, wordhash.LINES)
     joined = np.frombuffer("\n".join(raw).encode("utf-8", "surrogatepass"), np.uint8)
     line = np.searchsorted(np.flatnonzero(joined == 10), start)
     lengths = np.fromiter((x.count("\n") + 1 for x in raw), np.int64, len(raw))
     first_line = np.cumsum(lengths) - lengths
-    rarity = np.zeros(len(hashes), np.uint64) if counts is None else counts[(hashes >> np.uint64(64 - BUCKETS)).astype(np.int64)]
-    low = hashes & np.uint64((1 << 40) - 1)
-    # Lines stand in order already; within a line by rank of the bucket, then by the bits that are stored.
-    order = np.lexsort((low, line.astype(np.uint64) << np.uint64(BUCKETS) | rarity))
+    # Lines stand in order already; within a line by hash.
+    order = np.lexsort((hashes, line))
     line, hashes = line[order], hashes[order]
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
     line, hashes = line[new], hashes[new]
     at = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([at, [len(line)]]))
-    key = mix(np.add.reduceat(mix(hashes), at) + size.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
+    mixed = mix(hashes)
+    key, check = (mix(np.add.reduceat(m, at) + size.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64) for m in (mixed, mixed * mixed | np.uint64(1)))
     text = np.searchsorted(first_line, line[at], side="right") - 1
-    return text, line[at] - first_line[text], key, size, at, hashes
+    return text, line[at] - first_line[text], key, check, size, at, hashes
 
 
-def bucket_ranks(docs: DataFrame) -> np.ndarray:
-    """Of each bucket of words its place by rising count over all texts: a table of fixed size."""
+def packed(words: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The sets whose rows are `at` as binary values, null for the other rows; words: 64-bit hashes."""
+    many = size[at]
+    of = np.repeat(first[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    data = words[of].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDE].tobytes()
+    present = np.zeros(len(size), bool)
+    present[at] = True
+    ends = np.concatenate([[0], np.cumsum(np.where(present, size, 0) * WIDE)]).astype(np.int32)
+    valid = pa.py_buffer(np.packbits(present, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(size), [valid, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKETS, np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at, to in wordhash.chunks(texts):
-                total += np.bincount((wordhash.words(texts[at:to])[0] >> np.uint64(64 - BUCKETS)).astype(np.int64), minlength=1 << BUCKETS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << BUCKETS, np.int64)
-    counts[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy()
-    ranks = np.empty(1 << BUCKETS, np.uint64)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(1 << BUCKETS, dtype=np.uint64)
-    return ranks
+def unpacked(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words of all sets in a row, their sizes) of binary values without nulls."""
+    ends = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + len(sets) + 1].astype(np.int64)
+    data = np.frombuffer(sets.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(sets) and sets.buffers()[2] is not None else np.zeros(0, np.uint8)
+    out = np.zeros((len(data) // WIDE, 8), np.uint8)
+    out[:, :WIDE] = data.reshape(-1, WIDE)
+    return out.reshape(-1).view("<u8"), np.diff(ends) // WIDE
 
 
-def stored_lines(docs: DataFrame, ranks) -> DataFrame:
-    """(key, doc_id, line, words): every line that has words; words, in the order of rarity, for one line of each set in a task."""
+def stored_lines(docs: DataFrame) -> DataFrame:
+    """(key, check, doc_id, line, words): every line that has words; words for one line of each set in a task, at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for at, to in wordhash.chunks(texts):
-                text, line, key, size, first, hashes = line_sets(texts[at:to], ranks.value)
+                text, line, key, check, size, first, hashes = line_sets(texts[at:to])
                 if not len(key):
                     continue
-                raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDE].tobytes()
                 _, one = np.unique(key, return_index=True)
-                one = one[~np.isin(key[one], seen)] if len(seen) else one
-                seen = np.concatenate([seen, key[one]]) if len(seen) < 1_000_000 else key[one]
-                new = np.zeros(len(key), bool)
-                new[one] = True
-                words = [raw[f * WIDE : (f + n) * WIDE] if k else None for f, n, k in zip(first.tolist(), size.tolist(), new.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.slice(at, to - at).take(pa.array(text)), pa.array(line), pa.array(words, pa.binary())], ["key", "doc_id", "line", "words"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key long, doc_id long, line long, words binary")
+                place = np.minimum(np.searchsorted(seen, key[one]), max(0, len(seen) - 1))
+                one = one[seen[place] != key[one]] if len(seen) else one
+                seen = np.sort(np.concatenate([seen, key[one]])) if len(seen) < 1_000_000 else np.sort(key[one])
+                words = packed(hashes, first, size, np.sort(one))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), ids.slice(at, to - at).take(pa.array(text)), pa.array(line), words], ["key", "check", "doc_id", "line", "words"])
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key long, check long, doc_id long, line long, words binary")
 
-def unpack(words: bytes) -> np.ndarray:
-    out = np.zeros((len(words) // WIDE, 8), np.uint8)
-    out[:, :WIDE] = np.frombuffer(words, np.uint8).reshape(-1, WIDE)
-    return out.reshape(-1).view("<u8")
 
+def bucket_of(words: np.ndarray) -> np.ndarray:
+    return (mix(words) >> np.uint64(64 - BUCKETS)).astype(np.int64)
 
-def prefixes(lines: DataFrame, t: float) -> DataFrame:
-    """(head, key, more): the prefix words of each set. head packs the word's 32-bit hash and half of the set's 64-bit signature (the parities of 64 classes of words), more the other half, the set's size and the word's place.
 
-    Sizes and places beyond 16 bits stand at their bound, where the filters let pairs pass.
-    """
+def bucket_counts(lines: DataFrame) -> np.ndarray:
+    """Of each bucket of words the number of stored sets that hold them: a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKETS, np.int64)
         for batch in batches:
-            key, sets = np.asarray(batch.column(0)), batch.column(1).to_pylist()
-            size = np.fromiter((len(x) // WIDE for x in sets), np.int64, len(sets))
-            # Sets that only an equal set can match need no search: no other size or overlap reaches t.
-            alone = (np.floor(size / t + 1e-9) <= size) & (np.ceil(2 * size * t / (1 + t) - 1e-9) >= size)
-            keep = np.flatnonzero(~alone)
-            if not len(keep):
-                continue
-            key, size = key[keep], size[keep]
-            flat = unpack(b"".join(sets[i] for i in keep.tolist()))
-            first = np.cumsum(size) - size
-            many = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-            place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-            word = flat[np.repeat(first, many) + place] >> np.uint64(8) << np.uint64(32)
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), first)
-            head = word | np.repeat(bits >> np.uint64(32), many)
-            more = np.repeat(bits << np.uint64(32) | np.minimum(size, MOST).astype(np.uint64) << np.uint64(16), many) | np.minimum(place, MOST).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), pa.array(np.repeat(key, many)), pa.array(more.view(np.int64))], ["head", "key", "more"])
+            total += np.bincount(bucket_of(unpacked(batch.column(0))[0]), minlength=1 << BUCKETS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["bucket", "n"])
 
-    return lines.where("words is not null").select("key", "words").mapInArrow(run, "head long, key long, more long")
+    rows = lines.where("words is not null").select("words").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << BUCKETS, np.int64)
+    counts[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy()
+    return counts
 
 
-def hot_words(lines: DataFrame, t: float, bound: int) -> list[tuple[int, int]]:
-    """(word, chunks) of the prefix words of more than `bound` sets. Each task hands on those of its words that could be: a share of the bound as even tasks would have."""
-    tasks = max(1, lines.rdd.getNumPartitions())
-    least = max(1, bound // tasks)
+def signature_bits(size: np.ndarray) -> np.ndarray:
+    """The length of a set's signature: a power of two, the first from 64 on that is no less than its size, at most WIDEST."""
+    return np.minimum(WIDEST, 64 << np.ceil(np.log2(np.maximum(1, size / 64))).astype(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, int] = {}
-        for batch in batches:
-            words, n = np.unique(np.asarray(batch.column(0)) >> 32, return_counts=True)
-            for w, k in zip(words.tolist(), n.tolist(), strict=True):
-                held[w] = held.get(w, 0) + k
-        kept = {w: k for w, k in held.items() if k >= least}
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(kept), pa.int64()), "n": pa.array(list(kept.values()), pa.int64())})
 
-    counts = prefixes(lines, t).select("head").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # A word above the bound reaches the share in one task at least; what the others hold back is less than the bound.
-    return [(r["word"], -(-(r["n"] + bound) // bound)) for r in counts.where(F.col("n") > bound // 2).collect()]
+def folded(bits: np.ndarray, to: int) -> np.ndarray:
+    """Rows of signatures (64-bit words) at the length `to`: words that a shorter signature has in one class are added up."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), bits.shape[1] * 64 // to, to // 64), axis=1)
 
 
-def candidates(lines: DataFrame, t: float, *, bound: int = 20_000, most_hot: int = 2000) -> DataFrame:
-    """(x, y): pairs of set keys that share a prefix word and pass the filters; each once.
+def prefixes(lines: DataFrame, t: float, ranks) -> DataFrame:
+    """(head, key, bits): the prefix words of each set. head packs the word's 32-bit hash with the set's size and the word's place, bits is the set's signature.
 
-    Besides length and position, signatures are compared: sets differ in at least as many words as their signatures in
-    bits. All filters leave in every pair that reaches t. Chunks of a hot word take a hash as their word; words that
-    share one only give more pairs to the filters.
+    Sizes and places beyond 16 bits stand at their bound, where the filters let pairs pass.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = ranks.value
+        for batch in batches:
+            key = np.asarray(batch.column(0))
+            flat, size = unpacked(batch.column(1))
+            # Sets that only an equal set can match need no search: no other size or overlap reaches t.
+            keep = (np.floor(size / t + 1e-9) > size) | (np.ceil(2 * size * t / (1 + t) - 1e-9) < size)
+            flat, key, size = flat[np.repeat(keep, size)], key[keep], size[keep]
+            if not len(key):
+                continue
+            first, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+            long = signature_bits(size)
+            start = np.cumsum(long // 64) - long // 64
+            held = np.zeros(int((long // 64).sum()), np.uint64)
+            where = (flat & (long[owner] - 1).astype(np.uint64)).astype(np.int64)
+            np.bitwise_xor.at(held, start[owner] + (where >> 6), np.uint64(1) << (where & 63).astype(np.uint64))
+            flat = flat[np.lexsort((flat, owner.astype(np.uint64) << np.uint64(BUCKETS) | rank[bucket_of(flat)]))]
+            many = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+            of = np.repeat(np.arange(len(size)), many)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            word = flat[first[of] + place] >> np.uint64(8) << np.uint64(32)
+            head = word | np.minimum(size, MOST).astype(np.uint64)[of] << np.uint64(16) | np.minimum(place, MOST).astype(np.uint64)
+            wide = (long // 64)[of]
+            ends = np.cumsum(wide)
+            data = held[np.arange(int(ends[-1])) + np.repeat(start[of] - (ends - wide), wide)]
+            bits = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(np.concatenate([[0], ends * 8]).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), pa.array(key[of]), bits], ["head", "key", "bits"])
+
+    return lines.where("words is not null").select("key", "words").mapInArrow(run, "head long, key long, bits binary")
+
+
+def hot_words(lines: DataFrame, t: float, ranks, counts, bound: int) -> list[tuple[int, int]]:
+    """(word, chunks) of the prefix words of more than `bound` sets. Only words of buckets with so many sets can be hot."""
+    large = np.zeros(1 << BUCKETS, bool)
+    large[np.flatnonzero(counts > bound)] = True
+    if not large.any():
+        return []
+    shared = lines.sparkSession.sparkContext.broadcast(large)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, size = unpacked(batch.column(0))
+            hot, owner = shared.value[bucket_of(flat)], np.repeat(np.arange(len(size)), size)
+            # The most frequent words stand last: only sets with fewer other words than a prefix has can be headed by one.
+            others = np.bincount(owner, ~hot, len(size))
+            many = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+            headed = (others < many)[owner]
+            flat, owner, hot = flat[headed], owner[headed], hot[headed]
+            order = np.lexsort((flat, owner.astype(np.uint64) << np.uint64(BUCKETS) | ranks.value[bucket_of(flat)]))
+            flat, owner, hot = flat[order], owner[order], hot[order]
+            new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+            place = np.arange(len(owner)) - np.repeat(new, np.diff(np.concatenate([new, [len(owner)]])))
+            words, n = np.unique(flat[hot & (place < many[owner])] >> np.uint64(8) & np.uint64(0xFFFFFFFF), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.uint32).view(np.int32).astype(np.int64)), pa.array(n)], ["word", "n"])
+
+    found = lines.where("words is not null").select("words").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [(r["word"], -(-r["n"] // bound)) for r in found.where(F.col("n") > bound).collect()]
+
+
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (the least row that each row's links lead to) with the links a, b added."""
+    while True:
+        p, q = label[a], label[b]
+        apart = p != q
+        if not apart.any():
+            return label
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def alike(bits: pa.Array, sizes: np.ndarray):
+    """A function of rows x, y and the words they may differ in: whether their signatures allow it."""
+    data = np.frombuffer(bits.buffers()[2], np.uint64)
+    wide = signature_bits(sizes) // 64
+    start = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits)].astype(np.int64) // 8
+    levels, at, to = [], np.zeros(0, np.int64), WIDEST
+    held = np.zeros((0, WIDEST // 64), np.uint64)
+    while to >= 64:
+        own = np.flatnonzero(wide == to // 64)
+        rows = data[start[own][:, None] + np.arange(to // 64)]
+        at, held = np.concatenate([at, own]), np.concatenate([folded(held, to), rows])
+        index = np.full(len(sizes), -1)
+        index[at] = np.arange(len(at))
+        levels.append((to // 64, index, held))
+        to //= 2
+
+    def check(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(x), bool)
+        for w, index, held in reversed(levels):
+            live = np.flatnonzero(ok & (np.minimum(wide[x], wide[y]) >= w))
+            if not len(live):
+                break
+            apart = np.bitwise_count(held[index[x[live]]] ^ held[index[y[live]]]).sum(axis=1)
+            ok[live] = apart <= most[live]
+        return ok
+
+    return check
+
+
+def candidate_forest(lines: DataFrame, t: float, ranks, counts, *, bound: int = 20_000) -> DataFrame:
+    """(u, v): links between set keys that join all pairs of sets that share a prefix word and pass the filters."""
     spark = lines.sparkSession
-    bound = max(bound, -(-lines.count() * 8 // most_hot))
-    hot = hot_words(lines, t, bound)
-    keyed, word = prefixes(lines, t), F.shiftright("head", 32)
+    hot = hot_words(lines, t, ranks, counts, bound)
+    keyed, word = prefixes(lines, t, ranks), F.shiftright("head", 32)
     if hot:
         k = F.coalesce("k", F.lit(1))
         chunk = F.pmod(F.xxhash64("key", F.lit("chunk")), k).cast("int")
         keyed = keyed.join(F.broadcast(spark.createDataFrame(hot, "hot long, k int")), word == F.col("hot"), "left").withColumns({"k": k, "chunk": chunk})
         keyed = keyed.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).withColumn("pair", F.least("chunk", "other") * F.col("k") + F.greatest("chunk", "other"))
+        # Chunks of a hot word take a hash as their word; words that share one only give more pairs to the filters.
         dealt = F.shiftleft(F.xxhash64(word, "pair"), 32).bitwiseOR(F.col("head").bitwiseAND(0xFFFFFFFF))
-        keyed = keyed.select(F.when(F.col("k") > 1, dealt).otherwise(F.col("head")).alias("head"), "key", "more")
+        keyed = keyed.select(F.when(F.col("k") > 1, dealt).otherwise(F.col("head")).alias("head"), "key", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[np.asarray(c) for c in b.columns] for b in batches]
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
-        head, key, more = (np.concatenate(c) for c in zip(*held, strict=True))
-        group, more = head >> 32, more.view(np.uint64)
-        order = np.lexsort((more & np.uint64(0xFFFF), key, more >> np.uint64(16) & np.uint64(0xFFFF), group))
-        group, key, more, head = group[order], key[order], more[order], head[order].view(np.uint64)
+        head, key = (np.concatenate([np.asarray(b.column(i)) for b in held]) for i in range(2))
+        head, bits = head.view(np.uint64), pa.concat_arrays([b.column(2) for b in held])
+        order = np.lexsort((head & np.uint64(MOST), key, head >> np.uint64(16)))
+        head, key = head[order], key[order]
         new = np.ones(len(key), bool)  # a set that several tasks have stored is here more than once
-        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-        group, key, more, head = group[new], key[new], more[new], head[new]
-        size, place = (more >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), (more & np.uint64(0xFFFF)).astype(np.int64)
-        bits = more >> np.uint64(32) | head << np.uint64(32)
-        number = np.concatenate([[0], np.cumsum(group[1:] != group[:-1])])
+        new[1:] = (head[1:] != head[:-1]) | (key[1:] != key[:-1])
+        head, key = head[new], key[new]
+        size, place = (head >> np.uint64(16) & np.uint64(MOST)).astype(np.int64), (head & np.uint64(MOST)).astype(np.int64)
+        group = np.concatenate([[0], np.cumsum(head[1:] >> np.uint64(32) != head[:-1] >> np.uint64(32))])
+        similar = alike(bits.take(pa.array(order[new])), size)
         # The partners of a row: those after it in its group whose size is at most size / t; they are a range.
         most = np.where(size >= MOST, 1 << 30, np.floor(size / t + 1e-9).astype(np.int64))
-        upto = np.searchsorted(number * (1 << 32) + size, number * (1 << 32) + most, side="right")
+        upto = np.searchsorted(group * (1 << 32) + size, group * (1 << 32) + most, side="right")
         many = upto - np.arange(len(key)) - 1
         short = (place <= size - np.ceil(2 * t / (1 + t) * size - 1e-9)) | (size >= MOST)
         rows = np.flatnonzero((many > 0) & short)
-        share = np.cumsum(many[rows]) // 2_000_000
-        for part in np.split(rows, np.flatnonzero(np.diff(share)) + 1):
+        keys, node = np.unique(key, return_inverse=True)
+        label = np.arange(len(keys))
+        ends = np.cumsum(many[rows])
+        for part in np.split(rows, np.flatnonzero(np.diff(ends // AT_ONCE)) + 1):
             m = many[part]
             x = np.repeat(part, m)
             y = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + x + 1
             both = size[x] + size[y]
-            need = np.ceil(t / (1 + t) * both - 1e-9)
-            ok = (np.minimum(size[x] - place[x], size[y] - place[y]) >= need) & (np.bitwise_count(bits[x] ^ bits[y]) <= both - 2 * need) | (size[y] >= MOST)
-            a, b = key[x[ok]], key[y[ok]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
-
-    parts = common.parts_for(spark, lines.count() * 8, 500_000)
-    return keyed.repartition(parts, F.shiftright("head", 32)).mapInArrow(run, "x long, y long").distinct()
-
-
-def verified(pairs: DataFrame, lines: DataFrame, t: float, *, most_bytes: int = 48 << 20, most_keys: int = 1_000_000) -> DataFrame:
-    """The pairs whose whole sets have a similarity of t. The sets are broadcast if they take most_bytes at most, else joined to the pairs."""
-    spark = pairs.sparkSession
-    sets = lines.where("words is not null").select("key", "words")
-    involved = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
-    if pairs.count() * 2 <= most_keys:
-        involved = F.broadcast(involved)
-    sets = common.stage(sets.join(involved, sets["key"] == involved["k"], "left_semi").groupBy("key").agg(F.first("words").alias("words")), "involved")
-    size = sets.agg(F.coalesce(F.sum(F.octet_length("words") + 40), F.lit(0))).first()[0]
-    if size <= most_bytes:
-        rows = sorted((r["key"], bytes(r["words"])) for r in sets.toLocalIterator())
-        ends = np.cumsum([len(w) // WIDE for _, w in rows], dtype=np.int64)
-        shared = spark.sparkContext.broadcast((np.array([k for k, _ in rows], np.int64), np.concatenate([[0], ends]), unpack(b"".join(w for _, w in rows))))
-        del rows
-
-        def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, bounds, words = shared.value
-            for batch in batches:
-                u, v = (np.searchsorted(keys, np.asarray(c)) for c in batch.columns)
-                keep = np.zeros(len(u), bool)
-                for at in range(0, len(u), 20_000):
-                    i, j = u[at : at + 20_000], v[at : at + 20_000]
-                    ni, nj = bounds[i + 1] - bounds[i], bounds[j + 1] - bounds[j]
-                    many = ni + nj
-                    owner = np.repeat(np.arange(len(i)), many)
-                    within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                    left = within < ni[owner]
-                    of = np.where(left, bounds[i][owner] + within, bounds[j][owner] + within - ni[owner])
-                    tagged = np.sort(owner.astype(np.uint64) << np.uint64(8 * WIDE) | words[of])
-                    twice = tagged[1:] == tagged[:-1]
-                    shared_ = np.bincount((tagged[1:][twice] >> np.uint64(8 * WIDE)).astype(np.int64), minlength=len(i))
-                    keep[at : at + 20_000] = shared_ >= t * (many - shared_) - 1e-9
-                yield batch.filter(pa.array(keep))
-
-        return pairs.mapInArrow(among, "x long, y long")
-    a, b = sets.select(F.col("key").alias("x"), F.col("words").alias("a")), sets.select(F.col("key").alias("y"), F.col("words").alias("b"))
+            need = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
+            ok = np.flatnonzero((np.minimum(size[x] - place[x], size[y] - place[y]) >= need) & (label[node[x]] != label[node[y]]) | (size[y] >= MOST))
+            x, y, apart = x[ok], y[ok], (both - 2 * need)[ok]
+            ok = similar(x, y, apart) | (size[y] >= MOST)
+            label = merged(label, node[x[ok]], node[y[ok]])
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[linked]), pa.array(keys[label[linked]])], ["u", "v"])
+
+    parts = common.parts_for(spark, lines.where("words is not null").count() * 10, 500_000)
+    return keyed.repartition(parts, F.shiftright("head", 32)).mapInArrow(run, "u long, v long")
+
+
+def class_links(flat: np.ndarray, size: np.ndarray, first: np.ndarray, rows: np.ndarray, t: float, apart: np.ndarray | None, width: int = 2048):
+    """Pairs (x, y), x < y, of one class whose Jaccard similarity reaches t, in blocks; apart: only pairs of different values of it."""
+    many = size[rows]
+    of = np.repeat(np.arange(len(rows)), many)
+    words = flat[np.repeat(first[rows] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+    for low in range(0, len(rows), 512):
+        high = min(len(rows), low + 512)
+        mine = (of >= low) & (of < high)
+        known = np.unique(words[mine])
+        column = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        inside = known[column] == words
+        column, owner = column[inside], of[inside]
+        both = np.zeros((high - low, len(rows) - low), np.float32)
+        for at in range(0, len(known), width):
+            here = (column >= at) & (column < at + width) & (owner >= low)
+            grid = np.zeros((len(rows) - low, min(width, len(known) - at)), np.float32)
+            grid[owner[here] - low, column[here] - at] = 1
+            both += grid[: high - low] @ grid.T
+        total = many[low:high, None] + many[None, low:]
+        x, y = np.nonzero(both.astype(float) * (1 + t) >= t * total - 1e-6)
+        keep = x < y
+        x, y = x[keep] + low, y[keep] + low
+        if apart is not None:
+            keep = apart[rows[x]] != apart[rows[y]]
+            x, y = x[keep], y[keep]
+        yield rows[x], rows[y]
+
+
+def small_links(flat: np.ndarray, size: np.ndarray, first: np.ndarray, x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
+    """Which of the pairs x, y reach t, by their whole sets."""
+    keep = np.zeros(len(x), bool)
+    for at in range(0, len(x), 20_000):
+        i, j = x[at : at + 20_000], y[at : at + 20_000]
+        many = size[i] + size[j]
+        owner = np.repeat(np.arange(len(i)), many)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        left = within < size[i][owner]
+        of = np.where(left, first[i][owner] + within, first[j][owner] + within - size[i][owner])
+        tagged = np.sort(owner.astype(np.uint64) << np.uint64(8 * WIDE) | flat[of])
+        shared = np.bincount((tagged[1:][tagged[1:] == tagged[:-1]] >> np.uint64(8 * WIDE)).astype(np.int64), minlength=len(i))
+        keep[at : at + 20_000] = shared * (1 + t) >= t * many - 1e-6
+    return keep
+
+
+def linked_sets(members: DataFrame, t: float, *, bound: int = 2048) -> DataFrame:
+    """(key, check, links, doc, at) of members (key, check, root, doc, at, words): of each set with partners, their number and the first place among them.
+
+    A class of more than `bound` sets is dealt in pairs of chunks; pairs within a chunk are compared where it meets itself.
+    """
+    spark = members.sparkSession
+    sizes = members.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > bound).select(F.col("root").alias("r"), F.ceil(F.col("n") / bound).cast("int").alias("k"))
+    chunk = F.pmod(F.xxhash64("key", "check"), F.coalesce("k", F.lit(1))).cast("int")
+    if sizes.count() <= 1_000_000:  # 12 MB
+        sizes = F.broadcast(sizes)
+    dealt = members.join(sizes, F.col("root") == F.col("r"), "left").withColumn("chunk", chunk).withColumn("other", F.explode(F.expr("sequence(0, coalesce(k, 1) - 1)")))
+    dealt = dealt.select("root", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "key", "check", "doc", "at", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for u, v in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = set(unpack(u).tolist()), set(unpack(v).tolist())
-                keep.append(len(p & q) >= t * len(p | q) - 1e-9)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["x", "y"])
-
-    return pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
-
-
-def duplicate_lines(docs: DataFrame, *, t: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, line, removed, links) of each line that has words, (x, y) links of distinct sets): links are a line's to other sets."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        root, low, high, chunk, key, check, doc, line = (np.concatenate([np.asarray(b.column(i)) for b in held]) for i in range(8))
+        flat, size = unpacked(pa.concat_arrays([b.column(8) for b in held]))
+        first = np.cumsum(size) - size
+        order = np.lexsort((line, doc, high, low, root))
+        new = np.flatnonzero(np.concatenate([[True], (root[order][1:] != root[order][:-1]) | (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])]))
+        ends = np.concatenate([new[1:], [len(order)]])
+        links, best = np.zeros(len(order), np.int64), np.full(len(order), len(order))
+        place = np.empty(len(order), np.int64)  # of each row in the order of documents and lines
+        place[np.lexsort((line, doc))] = np.arange(len(order))
+
+        def add(x: np.ndarray, y: np.ndarray) -> None:
+            links[:] += np.bincount(np.concatenate([x, y]), minlength=len(links))
+            np.minimum.at(best, np.concatenate([x, y]), place[np.concatenate([y, x])])
+
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in zip(new.tolist(), ends.tolist(), strict=True):
+            rows, n = order[a:b], b - a
+            if n > 24:
+                for x, y in class_links(flat, size, first, rows, t, chunk if low[rows[0]] != high[rows[0]] else None):
+                    add(x, y)
+            elif n > 1:
+                x, y = np.triu_indices(n, 1)
+                if low[rows[0]] != high[rows[0]]:
+                    keep = chunk[rows[x]] != chunk[rows[y]]
+                    x, y = x[keep], y[keep]
+                waiting.append((rows[x], rows[y]))
+        if waiting:
+            x, y = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            near = (np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9)
+            x, y = x[near], y[near]
+            ok = small_links(flat, size, first, x, y, t)
+            add(x[ok], y[ok])
+        at = np.flatnonzero(links)
+        by_place = np.argsort(place)
+        of = by_place[best[at]]
+        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(check[at]), pa.array(links[at]), pa.array(doc[of]), pa.array(line[of])], ["key", "check", "links", "doc", "at"])
+
+    parts = common.parts_for(spark, members.count(), 50_000)
+    out = dealt.repartition(parts, "root", "low", "high").mapInArrow(run, "key long, check long, links long, doc long, at long")
+    return out.groupBy("key", "check").agg(F.sum("links").alias("links"), F.min(F.struct("doc", "at")).alias("other"))
+
+
+def duplicate_lines(docs: DataFrame, *, t: float = 0.8, bound: int = 20_000, class_bound: int = 2048) -> DataFrame:
+    """(doc_id, line, removed, links) of each line that has words; links: the number of other sets that match the line's."""
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(bucket_ranks(docs))
-    lines = common.stage(stored_lines(docs, ranks), "lines")
-    pairs = common.stage(candidates(lines, t), "candidates")
-    common.drop_shuffles(spark)
-    links = common.stage(verified(pairs, lines, t), "links")
-    common.unstage(pairs)
-    common.drop_shuffles(spark)
-    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "line")
-    firsts = lines.groupBy("key").agg(F.min(place).alias("first"))
-    both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    near = both.join(firsts, both["y"] == firsts["key"]).groupBy("x").agg(F.min("first").alias("other"), F.count("*").alias("links"))
-    known = firsts.join(near, firsts["key"] == near["x"], "left").select(F.col("key").alias("k"), "first", (F.col("other") < F.col("first")).alias("later"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = lines.join(known, lines["key"] == known["k"])
-    removed = F.coalesce("later", F.lit(False)) | (place != F.col("first"))
-    return out.select("doc_id", "line", removed.alias("removed"), "links"), links
+    lines = common.stage(stored_lines(docs), "lines")
+    counts = bucket_counts(lines)
+    ranks = np.empty(1 << BUCKETS, np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(1 << BUCKETS, dtype=np.uint64)
+    roots = components(candidate_forest(lines, t, spark.sparkContext.broadcast(ranks), counts, bound=bound))
+    roots = common.stage(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "classes")
+    if roots.count() <= 2_000_000:  # 32 MB
+        roots = F.broadcast(roots)
+    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("line").alias("at"))
+    members = lines.join(roots, lines["key"] == roots["node"]).groupBy("key", "check", "root").agg(F.min(place).alias("first"), F.max("words").alias("words"))
+    members = common.stage(members.select("key", "check", "root", "first.doc", "first.at", "words"), "members")
+    near = common.stage(linked_sets(members, t, bound=class_bound), "links")
+    # What can remove a line: an earlier line of the same set, or the first partner of its set.
+    firsts = lines.groupBy("key", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    known = firsts.join(near, ["key", "check"], "full").select(F.col("key").alias("k"), F.col("check").alias("c"), "first", "other", "links")
+    out = lines.drop("words").join(known, (lines["key"] == F.col("k")) & (lines["check"] == F.col("c")), "left")
+    removed = F.coalesce(F.col("first") < place, F.lit(False)) | F.coalesce(F.col("other") < place, F.lit(False))
+    return out.select("doc_id", "line", removed.alias("removed"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_links, removed): a row for each document; removed: the numbers of its lines that go."""
-    lines, _ = duplicate_lines(docs, **options)
+    lines = duplicate_lines(docs, **options)
     of = lines.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"), F.count(F.when(F.col("removed"), 1)).alias("n_removed"), F.sum("links").alias("n_links"), F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed")
     )
