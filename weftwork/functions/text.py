@@ -20,20 +20,42 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), lambda x: x != "")
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), with the value worked out once: a lambda's variable, where an expression would be evaluated at each mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def chunks(c: Column, size: int = 220, overlap: int = 40) -> Column:
     """Windows of `size` words that overlap; the last ends with the text."""
     step = max(1, size - overlap)
-    w = words(c)
-    last = F.greatest(F.lit(0), F.size(w) - size)
-    starts = F.sequence(F.lit(0), (F.lit(step) * F.ceil(last / F.lit(step))).cast("int"), F.lit(step))
-    return F.when(F.size(w) > 0, F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        last = F.greatest(F.lit(0), F.size(w) - size)
+        starts = F.sequence(F.lit(0), (F.lit(step) * F.ceil(last / F.lit(step))).cast("int"), F.lit(step))
+        return F.when(F.size(w) > 0, F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return _with(words(c), cut)
+
+
+def _grams(c: Column, n: int, make) -> Column:
+    """make(text) of each n words in a row, lower case; fewer words: of all; none: empty. Words are taken by place, as a slice would copy the array."""
+
+    def cut(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: make(F.concat_ws(" ", *(F.get(w, i + j) for j in range(n)))))
+        whole = F.array(make(F.array_join(w, " ")))
+        return F.when(F.size(w) >= n, many).when(F.size(w) > 0, whole).otherwise(F.slice(whole, 1, 0))
+
+    return F.array_distinct(_with(words(F.lower(c)), cut))
 
 
 def shingles(c: Column, n: int = 3) -> Column:
     """The set of n words in a row, lower case; fewer words: the whole text; none: empty."""
-    w = words(F.lower(c))
-    many = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
-    return F.array_distinct(F.when(F.size(w) >= n, many).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>")))
+    return _grams(c, n, lambda x: x)
+
+
+def shingle_hashes(c: Column, n: int = 3) -> Column:
+    """The set of hashes of n words in a row, for comparisons that need no words."""
+    return _grams(c, n, F.xxhash64)
 
 
 def jaccard(a: Column, b: Column) -> Column:

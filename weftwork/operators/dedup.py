@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions import text as T
+from weftwork.staging import stage
 
 
 def exact(df: DataFrame, text: str, order: str, by: list[str] | None = None) -> DataFrame:
@@ -19,29 +20,35 @@ def exact(df: DataFrame, text: str, order: str, by: list[str] | None = None) ->
     return df.join(firsts.select("__first"), F.col(order) == F.col("__first"), "left_semi")
 
 
-def _prefix(size: Column, least: float) -> Column:
-    return (size - F.ceil(size * F.lit(least) - 1e-9) + 1).cast("int")
-
-
 def lexical_pairs(df: DataFrame, text: str, key: str, *, least: float = 0.8, by: str | None = None) -> DataFrame:
     """(a, b, similarity) of all pairs with a Jaccard of at least `least` over word trigrams, a < b.
 
-    Sets are hashes in one order; pairs that reach the threshold share one of the first n - ceil(least n) + 1, so only
-    those are joined. Equal sets are joined once and spread at the end.
+    Shingles are ordered by rarity. Sets that reach the threshold share one of the first n - ceil(least n) + 1, the
+    smaller one of its first n - ceil(2 least / (1 + least) n) + 1, so only those are joined, and what can still follow the
+    shared one must reach the overlap that the threshold asks for. Shingles of one set alone are counted but never joined.
+    Equal sets are compared once and spread at the end.
     """
-    hashes = F.sort_array(F.transform(T.shingles(F.col(text)), lambda s: F.xxhash64(s)))
     group = F.lit("") if by is None else F.coalesce(F.col(by).cast("string"), F.lit(""))
-    sets = df.where(F.trim(text) != "").select(F.col(key).alias("id"), group.alias("g"), hashes.alias("s")).withColumn("h", F.xxhash64("g", "s"))
+    sets = df.where(F.trim(text) != "").select(F.col(key).alias("id"), group.alias("g"), F.sort_array(T.shingle_hashes(F.col(text))).alias("s"))
+    sets = stage(sets.withColumn("h", F.xxhash64("g", "s")), "shingles")
     unique = sets.groupBy("g", "h").agg(F.first("s").alias("s"))
-    heads = unique.select("g", "h", F.size("s").alias("n"), F.explode(F.slice("s", F.lit(1), _prefix(F.size("s"), least))).alias("w"))
-    x, y = heads.select("g", "w", F.col("h").alias("ha"), F.col("n").alias("na")), heads.select("g", "w", F.col("h").alias("hb"), F.col("n").alias("nb"))
-    pairs = x.join(y, ["g", "w"]).where((F.col("ha") < F.col("hb")) & (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9)).select("ha", "hb").distinct()
+    own = unique.select("g", "h", F.size("s").alias("n"), F.explode("s").alias("w"))
+    counts = own.groupBy("g", "w").agg(F.count("*").alias("c"))
+    own = own.join(counts.withColumnsRenamed({"g": "cg", "w": "cw"}), (F.col("g") == F.col("cg")) & (F.col("w") == F.col("cw")))
+    ranked = own.groupBy("g", "h", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "w"))), 1, (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int")).alias("head"))
+    heads = stage(ranked.select("g", "h", "n", F.posexplode("head").alias("p", "e")).where("e.c > 1").select("g", "h", "n", "p", F.col("e.w").alias("w")), "heads")
+    share = least / (1 + least)
+    x = heads.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(2 * share) - 1e-9)).select("g", "w", F.col("h").alias("ha"), F.col("n").alias("na"), F.col("p").alias("pa"))
+    y = heads.select("g", "w", F.col("h").alias("hb"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    smaller = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("ha") < F.col("hb"))
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.ceil((F.col("na") + F.col("nb")) * F.lit(share) - 1e-9)
+    pairs = x.join(y, ["g", "w"]).where(smaller & (F.col("na") >= F.col("nb") * least - 1e-9) & reach).select("ha", "hb").distinct()
     of = unique.select("h", "s")
     pairs = pairs.join(of.withColumnsRenamed({"h": "ha", "s": "sa"}), "ha").join(of.withColumnsRenamed({"h": "hb", "s": "sb"}), "hb")
     pairs = pairs.withColumn("similarity", T.jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= least).select("ha", "hb", "similarity")
-    own = unique.select(F.col("h").alias("ha"), F.col("h").alias("hb"), F.lit(1.0).alias("similarity"))
+    same = unique.select(F.col("h").alias("ha"), F.col("h").alias("hb"), F.lit(1.0).alias("similarity"))
     ids = sets.select("h", "id")
-    out = pairs.unionByName(own).join(ids.withColumnsRenamed({"h": "ha", "id": "a"}), "ha").join(ids.withColumnsRenamed({"h": "hb", "id": "b"}), "hb")
+    out = pairs.unionByName(same).join(ids.withColumnsRenamed({"h": "ha", "id": "a"}), "ha").join(ids.withColumnsRenamed({"h": "hb", "id": "b"}), "hb")
     out = out.where((F.col("ha") != F.col("hb")) | (F.col("a") < F.col("b")))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("similarity", 9).alias("similarity"))
 
