@@ -1,80 +1,16 @@
-"""What the operators of this subpackage share: the shared folder, staged tables, files and partition counts."""
+"""What the operators of this subpackage share: staged tables, files and partition counts."""
 
 from __future__ import annotations
 
-import atexit
 import math
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STAGED: list[tuple[SparkSession, str]] = []
-_OWN: list[str] = []
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="weftwork-"))
-        found = _OWN[0]
-    return found if "://" in found or found.startswith("file:") else f"file://{os.path.abspath(found)}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; it is removed when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _STAGED.append((spark, path))
-    return path
-
-
-def stage(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage and survives lost executors. The shuffle files of the write go with it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weft_path = path
-    return out
-
-
-def unstage(*tables: DataFrame) -> None:
-    """Removes staged tables that no later read needs."""
-    for table in tables:
-        remove(table.sparkSession, table._weft_path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _STAGED[:] = [x for x in _STAGED if x[1] != path]
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in list(_STAGED):
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended; local folders can still go
-            if path.startswith("file:"):
-                import shutil
-
-                shutil.rmtree(path.split("file:", 1)[1].replace("///", "/"), ignore_errors=True)
-    for path in _OWN:
-        import shutil
-
-        shutil.rmtree(path, ignore_errors=True)
+from weftwork.staging import new_path, remove, shared_dir, stage, unstage
+
+__all__ = ["file_system", "new_path", "parts_for", "put_file", "remove", "shared_dir", "stage", "table", "text_bytes", "unstage"]
 
 
 def file_system(uri: str):
