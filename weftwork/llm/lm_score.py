@@ -2,19 +2,21 @@
 
 The counts of all training words and bigrams are gathered exactly, in two grouped sums over hashes. An n-gram with count
 c enters the filter once for each level 1 .. 1 + floor(log_b c), so that its quantised count comes back by probing
-level after level until one is missing; level 1 stands for a count of 1. The size of the filter follows the sum of all
-levels. It is cut into blocks by key, of at most `bits` bits each, which tasks fill and leave in the shared folder; a
-task that scores sorts the n-grams of many texts by key and reads block after block, so that it never holds more than
-one. Words and bigrams of all training documents are in it; `head` only says how many words have their exact counts by
-broadcast.
+level after level until one is missing; level 1 stands for a count of 1. All bits of an entry lie in one 64-bit word of
+the filter. The size of the filter follows the sum of all levels. It is cut into blocks by key, of at most `bits` bits
+each, which tasks fill and leave in the shared folder; a task that probes sorts the n-grams of many texts by block and
+reads block after block, so that it never holds more than one. All words and bigrams of all training documents are in it.
 
 P(w | h) = a_h * c(h w) / c(h) + (1 - a_h) * P(w), with quantised counts (the lower bound above, the upper below, so
-that quantising can't add up to more than 1) and P(w) from the mean count of the word's level. The a_h, by the level of
-the context, are fitted by expectation maximisation on at most `sample_rows` training documents whose own counts are
-taken out.
+that quantising can't add up to more than 1) and P(w) from the mean count of the word's level. Every factor follows
+from three levels: those of the context, the bigram and the word. So the texts are probed once, and their levels are
+written down, three bytes a token. The a_h, by the level of the context, come from expectation maximisation over the
+number of tokens at each triple of levels in all training documents, with each token's own count taken out; then the
+written levels give the scores.
 
-The base score needs exact counts. Head words have them by broadcast, of bounded size; the rest, each in few documents,
-meet their counts in one shuffle by word, and no word of it is frequent enough to be hot.
+The base score needs exact counts. The `head` most frequent words, or fewer by chance where many share the least
+count (those are cut by key), have them by broadcast, of bounded size; the rest, each in few documents, meet their
+counts in one shuffle by word, and no word of it is frequent enough to be hot.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is learned from; each repeated row counts;
 without training rows N and V are 0 and every token has the probability of an unknown one; an empty table gives no
@@ -28,14 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm import common, wordhash
 from weftwork.llm.wordhash import Counts, mix
 
 END, BEGIN = np.uint64(0x5EED0E4D), np.uint64(0x5EED0BE6)
-BINS = 80
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -60,8 +61,8 @@ def least_count(levels: np.ndarray, base: float) -> np.ndarray:
 class LogFilter:
     """A Bloom filter of (key, level) in blocks by key, each a file of the shared folder that one task fills; a probe holds one block at a time."""
 
-    def __init__(self, path: str, filled: set[int], blocks: int, block_bits: int, hashes: int, most: int):
-        self.path, self.filled, self.blocks, self.block_bits, self.hashes, self.most = path, filled, blocks, block_bits, hashes, most
+    def __init__(self, path: str, filled: set[int], blocks: int, block_words: int, most: int):
+        self.path, self.filled, self.blocks, self.block_words, self.most = path, filled, blocks, block_words, most
 
     @staticmethod
     def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
@@ -69,33 +70,40 @@ class LogFilter:
         return ((keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
     @staticmethod
-    def places(keys: np.ndarray, level: int, i: int, block_bits: int) -> np.ndarray:
+    def places(keys: np.ndarray, level: int, block_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, its bits) of an entry: four bits of one 64-bit word."""
         a = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
-        return (a + np.uint64(i) * (a >> np.uint64(32) | np.uint64(1))) % np.uint64(block_bits)
+        one, low = np.uint64(1), np.uint64(63)
+        bits = one << (a & low) | one << (a >> np.uint64(6) & low) | one << (a >> np.uint64(12) & low) | one << (a >> np.uint64(18) & low)
+        return ((a >> np.uint64(32)) * np.uint64(block_words) >> np.uint64(32)).astype(np.int64), bits
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised level of each of the ascending keys: probed upwards until a level is missing."""
-        out = np.zeros(len(keys), np.int64)
+        """The quantised level of each key: probed upwards until a level is missing."""
+        out = np.zeros(len(keys), np.uint8)
         if not len(keys):
             return out
         system, path = common.file_system(self.path)
-        bounds = np.searchsorted(self.block_of(keys, self.blocks), np.arange(self.blocks + 1))
+        block = self.block_of(keys, self.blocks)
+        order = np.argsort(block.astype(np.uint16) if self.blocks < 1 << 16 else block, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=self.blocks))])
         for b in np.flatnonzero(np.diff(bounds)).tolist():
             if b in self.filled:
                 with system.open_input_stream(f"{path}/{b:06d}", compression=None) as stream:
                     bits = np.frombuffer(stream.read(), np.uint64)
-                self._probe(bits, keys[bounds[b] : bounds[b + 1]], out[bounds[b] : bounds[b + 1]])
+                at = order[bounds[b] : bounds[b + 1]]
+                out[at] = self._probe(bits, keys[at])
         return out
 
-    def _probe(self, bits: np.ndarray, keys: np.ndarray, out: np.ndarray) -> None:
-        live = np.arange(len(keys))
+    def _probe(self, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        out, live = np.zeros(len(keys), np.uint8), np.arange(len(keys))
         for level in range(1, self.most + 1):
-            for i in range(self.hashes):
-                at = self.places(keys[live], level, i, self.block_bits)
-                live = live[(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
-                if not len(live):
-                    return
+            word, own = self.places(keys, level, self.block_words)
+            found = np.flatnonzero(bits[word] & own == own)
+            if not len(found):
+                break
+            live, keys = live[found], keys[found]
             out[live] = level
+        return out
 
 
 def token_rows(ids: list, texts: list):
@@ -135,7 +143,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, c long, a long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
-def token_groups(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def token_groups(texts: list, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, tokens, number of tokens of each) of runs of texts of about so many tokens, which are probed at once."""
     held, size, first = [], 0, 0
     for at, to in wordhash.chunks(texts):
@@ -162,12 +170,11 @@ def bigrams(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def build_filter(grams: DataFrame, total: int, *, base: float, bits: int, hashes: int, most: int) -> LogFilter:
+def build_filter(grams: DataFrame, total: int, *, base: float, bits: int, entry_bits: int, most: int) -> LogFilter:
     """grams (key, c): the filter of those with a level, of total levels in all; its size follows total, that of a block is at most bits."""
-    all_bits = int(total * hashes / np.log(2)) + 1
-    blocks = -(-all_bits // bits)
+    blocks = max(1, -(-total * entry_bits // bits))
     # Keys are dealt by chance: room for a small block's share above the mean.
-    block_bits = -(-int(all_bits / blocks * (1 + 4 / np.sqrt(max(1, total / blocks)))) // 64) * 64
+    block_words = int(total * entry_bits / blocks * (1 + 4 / np.sqrt(max(1, total / blocks)))) // 64 + 1
     path = common.new_path(grams.sparkSession, "filter")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,99 +188,128 @@ def build_filter(grams: DataFrame, total: int, *, base: float, bits: int, hashes
             keys, counts, block = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1)), np.asarray(batch.column(2))
             levels = np.minimum(level_of(counts, base), most)
             for b in np.unique(block).tolist():
-                own = held.setdefault(b, np.zeros(block_bits // 64, np.uint64))
+                own = held.setdefault(b, np.zeros(block_words, np.uint64))
                 of, upto = keys[block == b], levels[block == b]
                 for level in range(1, int(upto.max()) + 1):
                     of, upto = of[upto >= level], upto[upto >= level]
-                    for i in range(hashes):
-                        at = LogFilter.places(of, level, i, block_bits)
-                        np.bitwise_or.at(own, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+                    np.bitwise_or.at(own, *LogFilter.places(of, level, block_words))
         for b, own in held.items():
             common.put_file(f"{path}/{b:06d}", lambda f, own=own: f.write(own.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([b])], ["block"])
 
     filled = grams.mapInArrow(numbered, "key long, c long, block long").repartition(blocks, "block").mapInArrow(fill, "block long")
-    return LogFilter(path, {r["block"] for r in filled.collect()}, blocks, block_bits, hashes, most)
-
-
-class Model:
-    """The filter and what turns its levels into probabilities."""
-
-    def __init__(self, filter_: LogFilter, base: float, level_means: np.ndarray, norm: float, starts: int):
-        self.filter, self.base, self.means, self.norm, self.starts = filter_, base, level_means, norm, starts
-        self.mixture = np.zeros(len(level_means))
-
-    def parts(self, tokens: np.ndarray, before: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(context level, bigram probability, word probability) of each token; less: own counts to take out."""
-        words, back = np.unique(np.append(tokens, BEGIN), return_inverse=True)
-        level = self.filter.levels(words)
-        level[words == BEGIN] = min(len(self.means) - 1, int(level_of(np.array([self.starts]), self.base)[0]))
-        of_word = level[back[:-1]]
-        of_before = np.where(before == BEGIN, level[back[-1]], np.append(level[back[-1]], of_word[:-1]))
-        keys, at = np.unique(pair(before, tokens), return_inverse=True)
-        both = self.filter.levels(keys)[at]
-        seen = np.where(both > 0, least_count(both, self.base), 0.0)
-        context = np.where(of_before > 0, np.maximum(least_count(of_before, self.base), least_count(of_before + 1, self.base) - 1), 1.0)
-        ratio = np.minimum(1.0, np.maximum(0.0, seen - less) / np.maximum(1.0, context - less))
-        return of_before, np.where(of_before > 0, ratio, 0.0), (np.maximum(0.0, self.means[of_word] - less * (of_word > 0)) + 0.5) / self.norm
-
-    def log10(self, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The log10 probability of each text."""
-        level, two, one = self.parts(tokens, contexts(tokens, counts))
-        a = self.mixture[level]
-        logs = np.log10(a * two + (1 - a) * one)
-        return np.add.reduceat(logs, np.cumsum(counts) - counts)
-
-
-def fit_mixture(docs: DataFrame, model: Model, *, sample_rows: int = 2000, steps: int = 30) -> np.ndarray:
-    """The mixture weights by context level, from binned likelihood ratios of at most sample_rows training documents."""
-    shared, levels = docs.sparkSession.sparkContext.broadcast(model), len(model.means)
-    chosen = docs.where("doc_id is not null").select(F.col("doc_id").alias("__id")).orderBy(F.xxhash64("doc_id", F.lit("lm")), "doc_id").limit(sample_rows)
-    sample = docs.join(F.broadcast(chosen.distinct()), docs["doc_id"] == chosen["__id"], "left_semi").select("doc_id", "text")
+    return LogFilter(path, {r["block"] for r in filled.collect()}, blocks, block_words, most)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(levels * BINS, np.int64)
-        for batch in batches:
-            texts = [t for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not held_out(i)]
-            for _, _, tokens, counts in token_groups(texts):
-                level, two, one = shared.value.parts(tokens, contexts(tokens, counts), less=1)
-                bins = np.where(two > 0, np.clip(np.floor(np.log2(np.maximum(two, 1e-30) / one) * 2 + BINS / 2), 1, BINS - 1), 0).astype(np.int64)
-                held += np.bincount(level * BINS + bins, minlength=len(held))
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["bin", "n"])
-
-    n = np.zeros((levels, BINS))
-    for row in sample.mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
-        n[row["bin"] // BINS, row["bin"] % BINS] = row["n"]
-    ratio = np.concatenate([[0.0], 2.0 ** ((np.arange(1, BINS) + 0.5 - BINS / 2) / 2)])
-    a = np.full(levels, 0.3)
+
+def factors(triples: np.ndarray, base: float, means: np.ndarray, norm: float, less: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(bigram probability, word probability) at (context, bigram, word) levels; less: own counts to take out."""
+    context, both, word = triples.T
+    seen = np.where(both > 0, least_count(both, base), 0.0)
+    of = np.where(context > 0, np.maximum(least_count(context, base), least_count(context + 1, base) - 1), 1.0)
+    ratio = np.minimum(1.0, np.maximum(0.0, seen - less) / np.maximum(1.0, of - less))
+    return np.where(context > 0, ratio, 0.0), (np.maximum(0.0, means[word] - less * (word > 0)) + 0.5) / norm
+
+
+def fit_mixture(triples: np.ndarray, n: np.ndarray, base: float, means: np.ndarray, norm: float, *, steps: int = 50) -> np.ndarray:
+    """The mixture weights by context level, from the number of training tokens at each triple of levels."""
+    levels = len(means)
+    two, one = factors(triples, base, means, norm, less=1)
+    a, total = np.full(levels, 0.3), np.bincount(triples[:, 0], n, levels)
     for _ in range(steps):
-        share = a[:, None] * ratio / (a[:, None] * ratio + 1 - a[:, None])
-        a = ((n * share).sum(axis=1) + 1e-3) / (n.sum(axis=1) + 1e-2)
+        own = a[triples[:, 0]]
+        share = own * two / (own * two + (1 - own) * one)
+        a = (np.bincount(triples[:, 0], n * share, levels) + 1e-3) / (total + 1e-2)
     a = np.minimum(a, 0.95)
-    a[(n.sum(axis=1) == 0) | (np.arange(levels) == 0)] = 0
+    a[(total == 0) | (np.arange(levels) == 0)] = 0
     return a
 
 
-def score(docs: DataFrame, *, head: int = 1 << 19, base: float = 1.5, bits: int = 1 << 25, hashes: int = 6) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text), a row for each."""
+def head_words(words: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, training counts) of the most frequent words (key, c, a) by a, about `head`: classes of like counts, of the last one those with the least keys."""
+    # Classes of counts, finer than a twentieth: at most some thousand rows, whatever the counts are.
+    cls = F.floor(F.log2("a") * 32).cast("int")
+    sizes = sorted(((r["cls"], r["n"]) for r in words.where("a > 0").groupBy(cls.alias("cls")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    upto, held, cut = 1 << 30, 0, None
+    for k, n in sizes:
+        if held + n > head:
+            cut = (k, (head - held) / n)
+            break
+        upto, held = k, held + n
+    keep = cls >= upto
+    if cut:  # keys are hashes, spread evenly over all 64-bit numbers
+        keep = keep | (cls == cut[0]) & (F.col("key") < int((cut[1] - 0.5) * 2**64) if cut[1] < 1 else F.lit(True))
+    table = words.where((F.col("a") > 0) & keep).select("key", "c").toPandas()
+    keys = table["key"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], table["c"].to_numpy().astype(np.int64)[order]
+
+
+SCHEMA = "kind int, row long, doc_id long, n_tokens long, n_known long, base double, levels binary, key long, times long, train boolean, triple long, n long"
+
+
+def probed(docs: DataFrame, filter_: LogFilter, starts_level: int, known: np.ndarray, exact: np.ndarray, smooth: float) -> DataFrame:
+    """Rows of three kinds: 0 a document with the levels of its tokens and the base score of its head words, 1 a rarer word of a document, 2 how many training tokens of a task are at a triple of levels."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((filter_, known, exact))
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    types = [pa.int32(), *[pa.int64()] * 4, pa.float64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[k].cast(t) if k in columns else pa.nulls(size, t) for k, t in zip(names, types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        lm, head, counts_of = shared.value
+        row = TaskContext.get().partitionId() << 40
+        found, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for at, to, tokens, counts in token_groups(texts):
+                n, first = to - at, np.cumsum(counts) - counts
+                words, back = np.unique(tokens, return_inverse=True)
+                word = lm.levels(words)[back]
+                before = np.concatenate([[starts_level], word[:-1]]).astype(np.uint8)
+                before[first] = starts_level
+                both = lm.levels(pair(contexts(tokens, counts), tokens))
+                levels = np.stack([before, both, word], axis=1)
+                place = np.minimum(np.searchsorted(head, words), max(0, len(head) - 1))
+                in_head = head[place] == words if len(head) else np.zeros(len(words), bool)
+                c = np.where(in_head, counts_of[place], 0) if len(head) else np.zeros(len(words), np.int64)
+                logs = np.where(in_head, np.log10((c + 0.5) / smooth), 0.0)
+                out_ids = ids.slice(at, n)
+                train = np.array([not held_out(x) for x in out_ids.to_pylist()])
+                number = np.arange(row, row + n)
+                row += n
+                ends = np.concatenate([first, [len(tokens)]]).astype(np.int64) * 3
+                packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(levels.tobytes())])
+                yield rows(n, kind=pa.array(np.zeros(n, np.int32)), row=pa.array(number), doc_id=out_ids, n_tokens=pa.array(counts), n_known=pa.array(np.add.reduceat((c > 0)[back].astype(np.int64), first)), base=pa.array(np.add.reduceat(logs[back], first)), levels=packed, train=pa.array(train))
+                owner = np.repeat(np.arange(n), counts)
+                codes = (levels[:, 0].astype(np.int64) << 16 | levels[:, 1].astype(np.int64) << 8 | levels[:, 2])[train[owner]]
+                seen, many = np.unique(np.concatenate([found, codes]), return_inverse=True)
+                weights = np.concatenate([sums, np.ones(len(codes), np.int64)])
+                found, sums = seen, np.bincount(many, weights, len(seen)).astype(np.int64)
+                rare = np.flatnonzero(~in_head[back])
+                if len(rare):
+                    code, times = np.unique(owner[rare] * len(words) + back[rare], return_counts=True)
+                    m, owner, rare = len(code), code // len(words), code % len(words)
+                    yield rows(m, kind=pa.array(np.ones(m, np.int32)), row=pa.array(number[owner]), key=pa.array(words[rare].view(np.int64)), times=pa.array(times), train=pa.array(train[owner]))
+        yield rows(len(found), kind=pa.array(np.full(len(found), 2, np.int32)), triple=pa.array(found), n=pa.array(sums))
+
+    return docs.mapInArrow(run, SCHEMA)
+
+
+def score(docs: DataFrame, *, head: int = 1 << 19, base: float = 1.5, bits: int = 1 << 25, entry_bits: int = 12) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text), a row for each.
+
+    entry_bits: bits of the filter for each level of an n-gram; 12 raise about one level in a hundred.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = common.stage(unigrams(docs), "unigrams")
     total, kinds, starts = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.max(F.when(F.col("key") == int(END), F.col("c"))), F.lit(0))).first()
     most = int(level_of(np.array([max(1, total)]), base)[0])
-    # The head: all words of at least so many tokens, as many as fit; the histogram has a bounded number of rows.
-    histogram = sorted(((r["n"], r["w"]) for r in words.groupBy(F.least("a", F.lit(100_000)).alias("n")).agg(F.count("*").alias("w")).collect()), reverse=True)
-    least, held = 1 << 62, 0
-    for n, w in histogram:
-        if held + w > head:
-            break
-        least, held = n, held + w
-    table = words.where(F.col("a") >= least).select("key", "c").toPandas() if held else None
-    keys = table["key"].to_numpy().astype(np.int64).view(np.uint64) if held else np.zeros(0, np.uint64)
-    order = np.argsort(keys)
-    keys, exact = keys[order], (table["c"].to_numpy().astype(np.int64)[order] if held else np.zeros(0, np.int64))
-    head_keys = spark.sparkContext.broadcast(keys)
+    known, exact = head_words(words, head)
     pairs = common.stage(bigrams(docs), "bigrams")
 
     # Levels of the filter: how many words are at each, and their mean count. Levels by the same rule as level_of().
@@ -284,56 +320,41 @@ def score(docs: DataFrame, *, head: int = 1 << 19, base: float = 1.5, bits: int
         norm += r["n"] * (means[r["l"]] + 0.5)
     grams = words.select("key", "c").unionByName(pairs).where("c > 0")
     levels = grams.agg(F.coalesce(F.sum(level), F.lit(0))).first()[0]
-    model = Model(build_filter(grams, levels, base=base, bits=bits, hashes=hashes, most=most), base, means, norm, starts)
+    filter_ = build_filter(grams, levels, base=base, bits=bits, entry_bits=entry_bits, most=most)
     common.unstage(pairs)
-    model.mixture = fit_mixture(docs, model)
-    shared = spark.sparkContext.broadcast((model, exact))
     smooth = total + 0.5 * (kinds + 1)
+    seen = common.stage(probed(docs, filter_, min(most, int(level_of(np.array([starts]), base)[0])), known, exact, smooth), "probed")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    table = seen.where("kind = 2").groupBy("triple").agg(F.sum("n").alias("n")).toPandas()
+    triples = table["triple"].to_numpy().astype(np.int64)
+    triples = np.stack([triples >> 16, triples >> 8 & 255, triples & 255], axis=1)
+    mixture = fit_mixture(triples, table["n"].to_numpy().astype(float), base, means, norm) if len(triples) else np.zeros(most + 1)
 
-        (lm, counts_of), known = shared.value, head_keys.value
-        row = TaskContext.get().partitionId() << 40
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for at, to, tokens, counts in token_groups(texts):
-                n, first = to - at, np.cumsum(counts) - counts
-                place = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
-                in_head = known[place] == tokens if len(known) else np.zeros(len(tokens), bool)
-                c = np.where(in_head, counts_of[place], 0) if len(known) else np.zeros(len(tokens))
-                logs = np.where(in_head, np.log10((c + 0.5) / smooth), 0.0)
-                rows = np.arange(row, row + n)
-                row += n
-                owner = np.repeat(np.arange(n), counts)[~in_head]
-                order = np.lexsort((tokens[~in_head], owner))
-                rare, owner = tokens[~in_head][order], owner[order]
-                new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])])) if len(rare) else np.zeros(0, np.int64)
-                times = np.diff(np.concatenate([new, [len(rare)]]))
-                rare, owner, m = rare[new], owner[new], len(new)
-                out_ids = ids.slice(at, n)
-                train = np.array([not held_out(x) for x in out_ids.to_pylist()])
-                none = pa.nulls(m, pa.int64())
-                names = ["row", "doc_id", "key", "times", "train", "n_tokens", "n_known", "base", "score"]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([rows, rows[owner]])), pa.concat_arrays([out_ids, none]), pa.array(np.concatenate([mix(rows.astype(np.uint64)), rare]).view(np.int64)),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), times])), pa.array(np.concatenate([train, train[owner]])), pa.concat_arrays([pa.array(counts), none]),
-                    pa.concat_arrays([pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), none]), pa.concat_arrays([pa.array(np.add.reduceat(logs, first)), none.cast(pa.float64())]),
-                    pa.concat_arrays([pa.array(lm.log10(tokens, counts)), none.cast(pa.float64())]),
-                ], names)
-
-    from pyspark.sql import Window
-
-    schema = "row long, doc_id long, key long, times long, train boolean, n_tokens long, n_known long, base double, score double"
-    seen = docs.mapInArrow(run, schema)
+            flat = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(batch.num_columns - 1)]
+            out = np.zeros(len(flat))
+            for at in range(0, len(flat), 200):
+                part = flat[at : at + 200]
+                own = np.concatenate(part).reshape(-1, 3).astype(np.int64)
+                kind, back = np.unique(own[:, 0] << 16 | own[:, 1] << 8 | own[:, 2], return_inverse=True)
+                kind = np.stack([kind >> 16, kind >> 8 & 255, kind & 255], axis=1)
+                two, one = factors(kind, base, means, norm)
+                a = mixture[kind[:, 0]]
+                logs = np.log10(a * two + (1 - a) * one)[back]
+                sizes = np.array([len(x) // 3 for x in part])
+                out[at : at + 200] = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "score"])
+
+    whole = seen.where("kind = 0").select("row", "doc_id", "train", "n_tokens", "n_known", "base", "levels")
+    whole = whole.mapInArrow(scores, "row long, doc_id long, train boolean, n_tokens long, n_known long, base double, score double")
+    # Rarer words meet their counts, then their documents.
     c = F.sum(F.when(F.col("train"), F.col("times")).otherwise(0)).over(Window.partitionBy("key"))
-    seen = seen.withColumn("c", c).withColumn("rare", F.col("n_tokens").isNull())
-    return seen.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max(F.when(~F.col("rare"), ~F.col("train"))).alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(F.col("rare"), F.when(F.col("c") > 0, F.col("times")).otherwise(0)).otherwise(F.col("n_known"))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        F.sum(F.when(F.col("rare"), F.col("times") * F.log10((F.col("c") + 0.5) / F.lit(float(smooth)))).otherwise(F.col("base"))).alias("base_score"),
-        F.max("score").alias("score"),
-    ).drop("row")
+    rare = seen.where("kind = 1").select("row", "key", "times", "train").withColumn("c", c).groupBy("row").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / F.lit(float(smooth)))).alias("logs")
+    )
+    out = whole.join(rare, "row", "left")
+    return out.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), "score",
+    )
