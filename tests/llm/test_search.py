@@ -56,8 +56,6 @@ def test_simhash_groups(spark):
     got = sorted((str(r["doc_id"]), r["fp"] % 2**64, r["component_id"]) for r in near_dup.near_duplicates(docs(spark, data)).collect())
     assert got == expected
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
-    kept = near_dup.keep_one(docs(spark, data))
-    assert kept.columns == docs(spark).columns and {2, 5, 7} & {r["doc_id"] for r in kept.collect()} == {2, 5, 7} - {r[0] for i, r in enumerate(data) if r[0] is not None and least[group[i]] != r[0]}
 
 
 @pytest.mark.parametrize("choose", [1, 2, 3])
@@ -79,10 +77,50 @@ def test_gray_index_finds_all_links_of_an_index(choose):
 def test_links_of_a_hot_top_node(spark):
     codes = sorted({(1 << a | 1 << b) for a in range(12) for b in range(12)})
     table = spark.createDataFrame([(c, i) for i, c in enumerate(codes)], "fp long, node long").repartition(3)
-    pairs = [(r["u"], r["v"]) for r in near_dup.links(table, len(codes), top_node=8, hot_nodes=50).collect()]
+    pairs = [(r["u"], r["v"]) for r in near_dup.links(table, near_dup.index_masks(4, 1), radius=4, bound=8).collect()]
     assert set(roots(list(range(len(codes))), pairs).values()) == {0}
 
 
+def edited(seed: int, text: str, n: int) -> str:
+    draw, words = np.random.default_rng(seed), text.split()
+    for at in draw.integers(len(words), size=n):
+        words[at] = f"edit{seed}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("class_bound", [1024, 3])
+def test_one_of_each_group_of_similar_texts_stays(spark, class_bound):
+    base = [prose(300 + i, 120) for i in range(12)]
+    data = rows() + [(1000 + 10 * i + k, edited(10 * i + k, b, k % 6), "en", "a") for i, b in enumerate(base) for k in range(8)]
+    data += [(None, base[0], "en", "a"), (None, "quite alone in the table", "en", "a"), (1000, base[0], "en", "b")]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    bags = [shingles(SPACE.findall(lower(r[1]))) for r in data]
+    same = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    near = [(a, b) for a, b in combinations(range(len(data)), 2) if same(bags[a], bags[b])]
+    group = roots(list(range(len(data))), near)
+    table = docs(spark, data)
+    kept = near_dup.keep_one(table, class_bound=class_bound)
+    assert kept.columns == table.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    order = lambda i: (data[i][0] is None, data[i][0] or 0)
+    best = {}
+    for i, g in group.items():
+        best[g] = min(best.get(g, i), i, key=order)
+    expected = [data[i][:2] for i in best.values()]
+    missed = Counter(got) - Counter(expected)
+    assert not Counter(expected) - Counter(got) and sum(missed.values()) <= 0.1 * (len(data) - len(expected))
+    assert near_dup.keep_one(docs(spark, [])).count() == 0
+
+
+def test_sampled_masks_find_similar_fingerprints():
+    draw = np.random.default_rng(3)
+    for n in (1000, 300_000, 10**9):
+        masks = np.array(near_dup.sampled_masks(n), np.uint64)
+        flips = np.array([sum(1 << int(b) for b in np.flatnonzero(draw.random(64) < np.arccos(2 * 0.8 / 1.8) / np.pi)) for _ in range(2000)], np.uint64)
+        assert ((flips[:, None] & masks) == 0).any(axis=1).mean() >= 0.9
+        assert n / 2 ** int(masks[0]).bit_count() <= 2048
+
+
 def test_contaminated(spark):
     items = [(1, prose(900, 40)), (2, prose(901, 12)), (3, prose(902, 3)), (4, None), (5, ""), (None, prose(903, 20)), (6, prose(900, 40))]
     words = {k: t.split() for k, t in items if t}
@@ -94,7 +132,12 @@ def test_contaminated(spark):
     shingles = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
     bags = [(k, len(clean(t)), Counter(shingles(clean(t), min(5, len(clean(t)))))) for k, t in items if clean(t or "")]
     seen = Counter(s for _, _, b in bags for s in b)
-    weight = lambda s: float(np.log1p(len(bags) / seen[s])) if s in seen else float(np.log1p(len(bags)))
+    weight = lambda s: float(np.log1p(len(bags) / max(1, seen[s])))
+
+    def similarity(a, b):
+        both = sum(min(n, b[x]) * weight(x) for x, n in a.items())
+        return both / (sum(n * weight(x) for x, n in a.items()) + sum(n * weight(x) for x, n in b.items()) - both)
+
     expected = []
     for doc, text, *_ in data:
         own = clean(text)
@@ -102,19 +145,17 @@ def test_contaminated(spark):
             size, best = min(5, n), None
             for at in range(max(1, len(own) - n + 1)):
                 window = Counter(shingles(own[at : at + n], size))
-                score = decontaminate.similarity(bag, window, weight)
+                score = similarity(bag, window) if window else 0
                 if window and score >= 0.8 and (best is None or score > best[0] + 1e-12):
                     best = (score, at)
             if best:
-                expected.append((str(doc), str(item), round(best[0], 6), best[1], n))
+                expected.append((str(doc), str(item), round(best[0], 5), best[1], n))
     bench = spark.createDataFrame([(k, t, 1) for k, t in items], "item_id long, text string, n int")
     for block in (20_000, 2):
         got = decontaminate.contaminated(docs(spark, data), bench, block_items=block).collect()
-        if block == 20_000:
-            assert sorted((str(r[0]), str(r[1]), round(r[2], 6), r[3], r[4]) for r in got) == sorted(expected)
-        assert {str(r[0]) for r in got} == {x[0] for x in expected}
+        assert sorted((str(r[0]), str(r[1]), round(r[2], 5), r[3], r[4]) for r in got) == sorted(expected)
     kept = decontaminate.drop_contaminated(docs(spark, data), bench)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in data if r[0] is None or str(r[0]) not in {x[0] for x in expected})
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in data if str(r[0]) not in {x[0] for x in expected})
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0 and decontaminate.contaminated(docs(spark, data), bench.limit(0)).count() == 0
 
 

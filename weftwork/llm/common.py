@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.staging import new_path, remove, shared_dir, stage, unstage
 
-__all__ = ["file_system", "new_path", "parts_for", "put_file", "remove", "shared_dir", "stage", "table", "text_bytes", "unstage"]
+__all__ = ["file_system", "new_path", "parts_for", "put_file", "remove", "shared_dir", "stage", "table", "text_bytes", "unstage", "with_row", "without_rows"]
 
 
 def file_system(uri: str):
@@ -32,6 +33,21 @@ def put_file(uri: str, write) -> None:
     system.move(own, path)
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with __file and __at, which name each row for good: its place in the files that it is read from; other tables are staged first."""
+    named = lambda df: df.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    try:
+        return named(docs)
+    except AnalysisException:
+        return named(stage(docs, "rows"))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, from with_row(), without the rows that gone (__file, __at) names and without their names."""
+    gone = gone.select(F.col("__file").alias("__f"), F.col("__at").alias("__a"))
+    return docs.join(gone, (docs["__file"] == gone["__f"]) & (docs["__at"] == gone["__a"]), "left_anti").drop("__file", "__at")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -186,6 +186,7 @@ def of_pages(pages: DataFrame, model: tuple[list[str], np.ndarray], **options) -
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that are rejected, by doc_id; all columns stay. Rows without a doc_id stay."""
-    gone = of_documents(docs, **options).where(~F.col("accepted") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs without the rows that are rejected; all columns stay."""
+    rows = common.with_row(docs)
+    gone = identify(rows, fit(docs), keys=["__file", "__at"], host="source", **options).where(~F.col("accepted"))
+    return common.without_rows(rows, gone)

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm import common, wordhash
+from weftwork.llm import common, sets, wordhash
 from weftwork.llm.components import components
+from weftwork.llm.sets import merged, packed, unpacked
 from weftwork.llm.wordhash import mix
 
-WIDE = 5  # bytes of a word's hash in a stored set
 BUCKETS = 18  # bits of the table of counts
 LAST = (1 << 63) - 1
 MOST = 0xFFFF
@@ -65,27 +65,6 @@ def line_sets(texts: list[str | None]):
     return text, line[at] - first_line[text], key, check, size, at, hashes
 
 
-def packed(words: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray) -> pa.Array:
-    """The sets whose rows are `at` as binary values, null for the other rows; words: 64-bit hashes."""
-    many = size[at]
-    of = np.repeat(first[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    data = words[of].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDE].tobytes()
-    present = np.zeros(len(size), bool)
-    present[at] = True
-    ends = np.concatenate([[0], np.cumsum(np.where(present, size, 0) * WIDE)]).astype(np.int32)
-    valid = pa.py_buffer(np.packbits(present, bitorder="little").tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(size), [valid, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-
-
-def unpacked(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(words of all sets in a row, their sizes) of binary values without nulls."""
-    ends = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + len(sets) + 1].astype(np.int64)
-    data = np.frombuffer(sets.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(sets) and sets.buffers()[2] is not None else np.zeros(0, np.uint8)
-    out = np.zeros((len(data) // WIDE, 8), np.uint8)
-    out[:, :WIDE] = data.reshape(-1, WIDE)
-    return out.reshape(-1).view("<u8"), np.diff(ends) // WIDE
-
-
 def stored_lines(docs: DataFrame) -> DataFrame:
     """(key, check, doc_id, line, words): every line that has words; words for one line of each set in a task, at least."""
 
@@ -202,19 +181,6 @@ def hot_words(lines: DataFrame, t: float, ranks, counts, bound: int) -> list[tup
     return [(r["word"], -(-r["n"] // bound)) for r in found.where(F.col("n") > bound).collect()]
 
 
-def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """label (the least row that each row's links lead to) with the links a, b added."""
-    while True:
-        p, q = label[a], label[b]
-        apart = p != q
-        if not apart.any():
-            return label
-        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
-        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
-        while (label[label] != label).any():
-            label = label[label]
-
-
 def alike(bits: pa.Array, sizes: np.ndarray):
     """A function of rows x, y and the words they may differ in: whether their signatures allow it."""
     data = np.frombuffer(bits.buffers()[2], np.uint64)
@@ -298,101 +264,27 @@ def candidate_forest(lines: DataFrame, t: float, ranks, counts, *, bound: int =
     return keyed.repartition(parts, F.shiftright("head", 32)).mapInArrow(run, "u long, v long")
 
 
-def class_links(flat: np.ndarray, size: np.ndarray, first: np.ndarray, rows: np.ndarray, t: float, apart: np.ndarray | None, width: int = 2048):
-    """Pairs (x, y), x < y, of one class whose Jaccard similarity reaches t, in blocks; apart: only pairs of different values of it."""
-    many = size[rows]
-    of = np.repeat(np.arange(len(rows)), many)
-    words = flat[np.repeat(first[rows] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-    for low in range(0, len(rows), 512):
-        high = min(len(rows), low + 512)
-        mine = (of >= low) & (of < high)
-        known = np.unique(words[mine])
-        column = np.minimum(np.searchsorted(known, words), len(known) - 1)
-        inside = known[column] == words
-        column, owner = column[inside], of[inside]
-        both = np.zeros((high - low, len(rows) - low), np.float32)
-        for at in range(0, len(known), width):
-            here = (column >= at) & (column < at + width) & (owner >= low)
-            grid = np.zeros((len(rows) - low, min(width, len(known) - at)), np.float32)
-            grid[owner[here] - low, column[here] - at] = 1
-            both += grid[: high - low] @ grid.T
-        total = many[low:high, None] + many[None, low:]
-        x, y = np.nonzero(both.astype(float) * (1 + t) >= t * total - 1e-6)
-        keep = x < y
-        x, y = x[keep] + low, y[keep] + low
-        if apart is not None:
-            keep = apart[rows[x]] != apart[rows[y]]
-            x, y = x[keep], y[keep]
-        yield rows[x], rows[y]
-
-
-def small_links(flat: np.ndarray, size: np.ndarray, first: np.ndarray, x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
-    """Which of the pairs x, y reach t, by their whole sets."""
-    keep = np.zeros(len(x), bool)
-    for at in range(0, len(x), 20_000):
-        i, j = x[at : at + 20_000], y[at : at + 20_000]
-        many = size[i] + size[j]
-        owner = np.repeat(np.arange(len(i)), many)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        left = within < size[i][owner]
-        of = np.where(left, first[i][owner] + within, first[j][owner] + within - size[i][owner])
-        tagged = np.sort(owner.astype(np.uint64) << np.uint64(8 * WIDE) | flat[of])
-        shared = np.bincount((tagged[1:][tagged[1:] == tagged[:-1]] >> np.uint64(8 * WIDE)).astype(np.int64), minlength=len(i))
-        keep[at : at + 20_000] = shared * (1 + t) >= t * many - 1e-6
-    return keep
-
-
 def linked_sets(members: DataFrame, t: float, *, bound: int = 2048) -> DataFrame:
     """(key, check, links, doc, at) of members (key, check, root, doc, at, words): of each set with partners, their number and the first place among them.
 
     A class of more than `bound` sets is dealt in pairs of chunks; pairs within a chunk are compared where it meets itself.
     """
     spark = members.sparkSession
-    sizes = members.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > bound).select(F.col("root").alias("r"), F.ceil(F.col("n") / bound).cast("int").alias("k"))
-    chunk = F.pmod(F.xxhash64("key", "check"), F.coalesce("k", F.lit(1))).cast("int")
-    if sizes.count() <= 1_000_000:  # 12 MB
-        sizes = F.broadcast(sizes)
-    dealt = members.join(sizes, F.col("root") == F.col("r"), "left").withColumn("chunk", chunk).withColumn("other", F.explode(F.expr("sequence(0, coalesce(k, 1) - 1)")))
-    dealt = dealt.select("root", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "key", "check", "doc", "at", "words")
+    dealt = sets.dealt(members, ["key", "check"], bound).select("root", "low", "high", "chunk", "key", "check", "doc", "at", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         root, low, high, chunk, key, check, doc, line = (np.concatenate([np.asarray(b.column(i)) for b in held]) for i in range(8))
-        flat, size = unpacked(pa.concat_arrays([b.column(8) for b in held]))
-        first = np.cumsum(size) - size
-        order = np.lexsort((line, doc, high, low, root))
-        new = np.flatnonzero(np.concatenate([[True], (root[order][1:] != root[order][:-1]) | (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])]))
-        ends = np.concatenate([new[1:], [len(order)]])
-        links, best = np.zeros(len(order), np.int64), np.full(len(order), len(order))
-        place = np.empty(len(order), np.int64)  # of each row in the order of documents and lines
-        place[np.lexsort((line, doc))] = np.arange(len(order))
-
-        def add(x: np.ndarray, y: np.ndarray) -> None:
-            links[:] += np.bincount(np.concatenate([x, y]), minlength=len(links))
+        links, best = np.zeros(len(root), np.int64), np.full(len(root), len(root))
+        by_place = np.lexsort((line, doc))
+        place = np.empty(len(root), np.int64)  # of each row in the order of documents and lines
+        place[by_place] = np.arange(len(root))
+        for x, y in sets.links(root, low, high, chunk, pa.concat_arrays([b.column(8) for b in held]), t):
+            links += np.bincount(np.concatenate([x, y]), minlength=len(links))
             np.minimum.at(best, np.concatenate([x, y]), place[np.concatenate([y, x])])
-
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, b in zip(new.tolist(), ends.tolist(), strict=True):
-            rows, n = order[a:b], b - a
-            if n > 24:
-                for x, y in class_links(flat, size, first, rows, t, chunk if low[rows[0]] != high[rows[0]] else None):
-                    add(x, y)
-            elif n > 1:
-                x, y = np.triu_indices(n, 1)
-                if low[rows[0]] != high[rows[0]]:
-                    keep = chunk[rows[x]] != chunk[rows[y]]
-                    x, y = x[keep], y[keep]
-                waiting.append((rows[x], rows[y]))
-        if waiting:
-            x, y = (np.concatenate(c) for c in zip(*waiting, strict=True))
-            near = (np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9)
-            x, y = x[near], y[near]
-            ok = small_links(flat, size, first, x, y, t)
-            add(x[ok], y[ok])
         at = np.flatnonzero(links)
-        by_place = np.argsort(place)
         of = by_place[best[at]]
         yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(check[at]), pa.array(links[at]), pa.array(doc[of]), pa.array(line[of])], ["key", "check", "links", "doc", "at"])
 
@@ -410,7 +302,7 @@ def duplicate_lines(docs: DataFrame, *, t: float = 0.8, bound: int = 20_000, cla
     ranks[np.argsort(counts, kind="stable")] = np.arange(1 << BUCKETS, dtype=np.uint64)
     roots = components(candidate_forest(lines, t, spark.sparkContext.broadcast(ranks), counts, bound=bound))
     roots = common.stage(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "classes")
-    if roots.count() <= 2_000_000:  # 32 MB
+    if roots.count() <= 500_000:  # 8 MB
         roots = F.broadcast(roots)
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("line").alias("at"))
     members = lines.join(roots, lines["key"] == roots["node"]).groupBy("key", "check", "root").agg(F.min(place).alias("first"), F.max("words").alias("words"))

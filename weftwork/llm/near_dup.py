@@ -3,33 +3,40 @@
 Each text has a 64-bit SimHash over word shingles; documents whose fingerprints differ in at most `radius` bits are
 linked, and the components of the links are the groups. Only distinct fingerprints are compared.
 
-The bits are cut into radius + r blocks. Two fingerprints within the radius agree on r blocks at least, so each choice
-of r blocks heads one index, whose top nodes are the values of these blocks: they are the shuffle key, and a search
-opens only the top node that it agrees with. Within it, the fingerprints are sorted by Gray rank and every 16
-neighbours form a node, every 16 nodes a node above. A node holds the bit pattern that all below it share; a search adds up the differences
+Each index has a mask of bits, whose patterns are its top nodes: they are the shuffle key, and a search opens only the
+top node that it agrees with. Within it, the fingerprints are sorted by Gray rank and every 16 neighbours form a node,
+every 16 nodes a node above. A node holds the bit pattern that all below it share; a search adds up the differences
 from the patterns on its way down and drops a whole group once they exceed the radius. Patterns further down hold only
-the bits that the nodes above don't. Every index is searched whole, so that no link is lost.
+the bits that the nodes above don't.
+
+For a small radius, masks promise all links: the bits are cut into radius + r blocks, two fingerprints within the
+radius agree on r of them at least, and each choice of r blocks is a mask. For the radius that a similarity of shingle
+sets needs (pairs at 0.8 are ten bits apart in the mean, half of them more), no small number of masks promises that;
+masks of random bits are drawn, as many as find a pair at that similarity with a chance of `recall`, and groups() verifies
+what they find by the exact Jaccard similarity of the shingle sets.
 
 A top node that is larger than its bound (a group of near copies) is dealt in chunks to tasks for all pairs of chunks.
 Tasks return a forest of their links rather than all pairs, and components.py joins the forests.
 
 Defined results: a text without words, null or empty, has fingerprint zero and is linked like any other; texts of fewer
 words than a shingle are one shingle; repeated rows are rows of one group; a null doc_id takes part only through its
-fingerprint; an empty table gives no rows; other columns are ignored.
+fingerprint, and in keep_one() comes last of its group; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm import common
+from weftwork.llm import common, sets
 from weftwork.llm.components import components
+from weftwork.llm.wordhash import mix
 
 FAN = 16
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -142,8 +149,8 @@ class GrayIndex:
                 keep = (held <= radius) & (child > query)
         return query[keep], child[keep]
 
-    def forest(self, radius: int, pairs_at_once: int = 2_000_000) -> np.ndarray:
-        """For each row, the least row that its links within the radius lead to."""
+    def forest(self, radius: int, allowed=None, pairs_at_once: int = 2_000_000) -> np.ndarray:
+        """For each row, the least row that its links lead to: rows within the radius that, if given, allowed(i, j) lets pass."""
         label = np.arange(len(self.codes))
         rows = np.flatnonzero(self.sizes[self.group] > 1)
         if not len(rows):
@@ -151,66 +158,153 @@ class GrayIndex:
         share = np.cumsum(self.sizes[self.group[rows]]) // pairs_at_once
         for part in np.split(rows, np.flatnonzero(np.diff(share)) + 1):
             i, j = self.pairs(part, radius)
-            while True:
-                a, b = label[i], label[j]
-                apart = a != b
-                if not apart.any():
-                    break
-                i, j = i[apart], j[apart]
-                np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-                while (label[label] != label).any():
-                    label = label[label]
+            if allowed is not None:
+                keep = allowed(i, j)
+                i, j = i[keep], j[keep]
+            label = sets.merged(label, i, j)
         return label
 
 
-def links(distinct: DataFrame, n: int, *, radius: int = 4, top_node: int = 4096, hot_nodes: int = 1000) -> DataFrame:
-    """(u, v): links between nodes of distinct (fp, node) that join all that are within the radius."""
+def sampled_masks(n: int, *, least: float = 0.8, radius: int = 16, recall: float = 0.9, top_node: int = 2048, seed: int = 5) -> list[int]:
+    """Masks of random bits for n fingerprints: so wide that unlike texts share a top node with about top_node others, so many that a pair at the similarity `least` shares one with the chance `recall`."""
+    wide = min(40, max(4, (n // top_node).bit_length()))
+    # Sets of like size at a Jaccard of `least` have a cosine of 2 least / (1 + least), which gives the chance of each bit to differ.
+    differs = np.arccos(2 * least / (1 + least)) / np.pi
+    apart = np.array([comb(64, d) * differs**d * (1 - differs) ** (64 - d) for d in range(radius + 1)])
+    shared = np.array([comb(64 - d, wide) / comb(64, wide) for d in range(radius + 1)])  # by a mask of so many bits that no differing bit is in it
+    many = 1
+    while apart @ (1 - (1 - shared) ** many) < recall:
+        many += 1
+    draw = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in draw.permutation(64)[:wide]) for _ in range(many)]
+
+
+def links(distinct: DataFrame, masks: list[int], *, radius: int, both: int | None = None, bound: int = 8192) -> DataFrame:
+    """(u, v): links between nodes of distinct (fp, fp2, node) that join all that share a top node of some mask and are within the radius, and within `both` if the bits of fp2 are counted too."""
     spark = distinct.sparkSession
-    choose = 1
-    while n >> (64 * choose // (radius + choose)) > top_node and choose < 4:
-        choose += 1
-    masks = index_masks(radius, choose)
+    second = F.lit(0).cast("long") if both is None else F.col("fp2")
+    distinct = distinct.select("fp", second.alias("fp2"), "node")
     at = F.posexplode(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])).alias("t", "mask")
-    keyed = distinct.where("node is not null").select("fp", "node", at).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "node")
-    # A top node above the bound is dealt in chunks. The bound follows n, so that hot_nodes of them are there at most.
-    bound = max(top_node, -(-len(masks) * n // hot_nodes))
-    hot = {(r["t"], r["key"]): -(-r["n"] // bound) for r in keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > bound).collect()}
+    keyed = distinct.where("node is not null").select("fp", "fp2", "node", at).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "fp2", "node")
+    hot = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > bound).select(F.col("t").alias("ht"), F.col("key").alias("hk"), F.ceil(F.col("n") / bound).cast("int").alias("k"))
+    hot = common.stage(hot, "hot")
+    many = hot.count()
     keyed = keyed.withColumn("pair", F.lit(0))
-    if hot:
-        chunks = F.broadcast(spark.createDataFrame([(*k, v) for k, v in hot.items()], "t int, key long, k int"))
-        chunk = F.pmod(F.xxhash64("fp", F.lit("chunk")), F.col("k")).cast("int")
+    if many:
+        hot = F.broadcast(hot) if many <= 1_000_000 else hot  # 16 MB
+        chunk = F.pmod(F.xxhash64("fp", F.lit("chunk")), F.coalesce("k", F.lit(1))).cast("int")
         other = F.explode(F.expr("sequence(0, coalesce(k, 1) - 1)")).alias("other")
-        keyed = keyed.join(chunks, ["t", "key"], "left").select("t", "key", "fp", "node", F.coalesce("k", F.lit(1)).alias("k"), F.coalesce(chunk, F.lit(0)).alias("chunk"), other)
-        keyed = keyed.select("t", "key", "fp", "node", (F.least("chunk", "other") * F.col("k") + F.greatest("chunk", "other")).alias("pair"))
-    parts = common.parts_for(spark, n * len(masks), 500_000)
+        keyed = keyed.join(hot, (F.col("t") == F.col("ht")) & (F.col("key") == F.col("hk")), "left").select("t", "key", "fp", "fp2", "node", F.coalesce("k", F.lit(1)).alias("k"), chunk.alias("chunk"), other)
+        keyed = keyed.select("t", "key", "fp", "fp2", "node", (F.least("chunk", "other") * F.col("k") + F.greatest("chunk", "other")).alias("pair"))
+    parts = common.parts_for(spark, distinct.count() * len(masks), 500_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[np.asarray(c) for c in b.columns] for b in batches]
         if not held:
             return
-        t, key, fp, node, pair = (np.concatenate(c) for c in zip(*held, strict=True))
-        codes = fp.view(np.uint64) & ~np.array(masks, np.uint64)[t]
+        t, key, fp, fp2, node, pair = (np.concatenate(c) for c in zip(*held, strict=True))
+        codes, more = fp.view(np.uint64) & ~np.array(masks, np.uint64)[t], fp2.view(np.uint64)
         order = np.lexsort((gray_rank(codes), pair, key, t))
-        t, key, codes, node, pair = (x[order] for x in (t, key, codes, node, pair))
+        t, key, codes, more, node, pair = (x[order] for x in (t, key, codes, more, node, pair))
         new = (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])
-        label = GrayIndex(codes, np.concatenate([[0], np.cumsum(new)])).forest(radius)
+        near = lambda i, j: np.bitwise_count(codes[i] ^ codes[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j]) <= both
+        label = GrayIndex(codes, np.concatenate([[0], np.cumsum(new)])).forest(radius, None if both is None else near)
         linked = np.flatnonzero(label != np.arange(len(label)))
         yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["u", "v"])
 
-    return keyed.repartition(parts, "t", "key", "pair").select("t", "key", "fp", "node", "pair").mapInArrow(run, "u long, v long")
+    return keyed.repartition(parts, "t", "key", "pair").select("t", "key", "fp", "fp2", "node", "pair").mapInArrow(run, "u long, v long")
+
+
+def sure_masks(n: int, radius: int, *, top_node: int = 4096) -> list[int]:
+    """index_masks() with blocks so many that n unlike fingerprints share a top node with about top_node others."""
+    choose = 1
+    while n >> (64 * choose // (radius + choose)) > top_node and choose < 4:
+        choose += 1
+    return index_masks(radius, choose)
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of docs (doc_id, text): the component's id is its smallest doc_id."""
     prints = common.stage(fingerprints(docs, size=size), "fingerprints")
     distinct = common.stage(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    roots = components(links(distinct, distinct.count(), radius=radius))
+    roots = components(links(distinct, sure_masks(distinct.count(), radius), radius=radius))
     classes = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def set_prints(rows: DataFrame, size: int) -> DataFrame:
+    """(doc_id, __file, __at, fp, fp2, key, check): two fingerprints of each text's set of shingles, and the identity of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, 4), np.uint64)
+            for i, text in enumerate(batch.column(0)):
+                hashes = np.unique(shingle_hashes(text.as_py(), size))
+                if len(hashes):
+                    mixed = mix(hashes)
+                    out[i] = simhash(hashes), simhash(mixed), int(np.bitwise_xor.reduce(mixed)), int(np.sum(mix(mixed)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(out[:, i].view(np.int64)) for i in range(4))], [*batch.schema.names[1:], "fp", "fp2", "key", "check"])
+
+    return rows.select("text", F.col("doc_id").cast("long").alias("doc_id"), "__file", "__at").mapInArrow(run, "doc_id long, __file long, __at long, fp long, fp2 long, key long, check long")
+
+
+def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """(key, check, words): the packed set of shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                held = [np.unique(shingle_hashes(x.as_py(), size)) for x in part.column(0)]
+                many = np.array([len(x) for x in held])
+                words = sets.packed(np.concatenate(held), np.cumsum(many) - many, many, np.arange(len(many)))
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), words], ["key", "check", "words"])
+
+    return rows.select("text", "key", "check").mapInArrow(run, "key long, check long, words binary")
+
+
+def groups(rows: DataFrame, *, size: int = 5, least: float = 0.8, radius: int = 16, both: int = 28, recall: float = 0.9, class_bound: int = 1024) -> DataFrame:
+    """(__file, __at, doc_id, group) of rows, from common.with_row(): groups are the components of links between texts whose shingle sets have a Jaccard similarity of `least` and that the index finds.
+
+    Fingerprints are of the sets. The index only proposes classes of sets; within the wide radius of 64 bits many unlike texts are, so a second
+    fingerprint of 64 bits is counted before two join a class. Each class then meets, with its whole shingle sets, in one
+    task (a large one in pairs of chunks), so a group is linked by verified pairs alone.
+    """
+    prints = common.stage(set_prints(rows, size), "prints")
+    distinct = common.stage(prints.groupBy("key", "check", "fp", "fp2").agg(F.min(F.struct("__file", "__at")).alias("first")), "sets")
+    masks = sampled_masks(distinct.count(), least=least, radius=radius, recall=recall)
+    roots = components(links(distinct.select("fp", "fp2", F.col("key").alias("node")), masks, radius=radius, both=both))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = common.stage(distinct.join(roots, F.col("key") == F.col("node")).select("key", "check", "root", "first"), "members")
+    wanted = members.select("key", "check", F.col("first.__file").alias("f"), F.col("first.__at").alias("a"))
+    if members.count() <= 500_000:  # 16 MB
+        wanted = F.broadcast(wanted)
+    texts = rows.select("text", "__file", "__at").join(wanted, (F.col("__file") == F.col("f")) & (F.col("__at") == F.col("a"))).select("text", "key", "check")
+    held = shingle_sets(texts, size).withColumnsRenamed({"key": "k", "check": "c"})
+    members = common.stage(members.join(held, (F.col("key") == F.col("k")) & (F.col("check") == F.col("c"))).select("root", "key", "check", "words"), "members")
+    dealt = sets.dealt(members, ["key", "check"], class_bound).select("root", "low", "high", "chunk", "key", "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        root, low, high, chunk, key = (np.concatenate([np.asarray(b.column(i)) for b in held]) for i in range(5))
+        label = np.arange(len(root))
+        for x, y in sets.links(root, low, high, chunk, pa.concat_arrays([b.column(5) for b in held]), least):
+            label = sets.merged(label, x, y)
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([pa.array(key[linked]), pa.array(key[label[linked]])], ["u", "v"])
+
+    parts = common.parts_for(rows.sparkSession, members.count(), 10_000)
+    same = components(dealt.repartition(parts, "root", "low", "high").mapInArrow(run, "u long, v long")).select("node", F.col("root").alias("group"))
+    return prints.join(same, F.col("key") == F.col("node"), "left").select("__file", "__at", "doc_id", F.coalesce("group", "key").alias("group"))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that share a group with a smaller doc_id; all columns stay. Of rows of one doc_id all or none stay."""
-    groups = near_duplicates(docs, **options)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The row of the smallest doc_id of each group of docs, of several the one first in its files; all columns stay."""
+    rows = common.with_row(docs)
+    found = common.stage(groups(rows, **options), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__file", "__at")
+    first = found.groupBy(F.col("group").alias("g")).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = found.join(first, F.col("group") == F.col("g")).where((F.col("first.__file") != F.col("__file")) | (F.col("first.__at") != F.col("__at")))
+    return common.without_rows(rows, gone)
