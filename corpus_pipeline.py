@@ -13,7 +13,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each SimHash group stays. Edited copies beyond 4 bits stay too; the README has the measured loss."""
+    """One document of each group stays, that of the smallest doc_id: groups of verified similarity 0.8 in five-word shingles."""
     return near_dup.keep_one(docs)
 
 
