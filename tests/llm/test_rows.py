@@ -117,6 +117,52 @@ def test_shards(spark):
     assert sharding.shard(docs(spark, []), shards=4).count() == 0
 
 
+def test_shards_against_plain_loops(spark):
+    """The shard by the jump hash as published, the slots by one shuffle of each bucket, in order of buckets."""
+    data = rows()
+    table = docs(spark, data)
+    got = sharding.shard(table, shards=4, bucket_bytes=20_000).collect()
+    per_shard = -(-sum(len((t or "").encode()) for _, t, *_ in data) // (4 * 20_000))
+    mask = 2**64 - 1
+
+    def mixed(x, seed):
+        x = (x + seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def jump(key, n):
+        b, j = -1, 0
+        while j < n:
+            b, key = j, (key * 2862933555777941757 + 1) & mask
+            j = int((b + 1) * (2**31 / ((key >> 33) + 1)))
+        return b
+
+    from pyspark.sql import functions as F
+
+    buckets = defaultdict(list)
+    for r in table.select("doc_id", "text", F.xxhash64(F.lit(11), *table.columns).alias("h")).collect():
+        key = mixed(r["doc_id"], 11) if r["doc_id"] is not None else mixed(11, 12)
+        buckets[jump(key, 4), mixed(r["h"] % 2**64, 13) % per_shard].append((r["doc_id"] is None, r["doc_id"] or 0, r["h"], r["text"], jump(key, 5)))
+    expected = []
+    for s in range(4):
+        slot = 0
+        for b in range(per_shard):
+            own = sorted(buckets[s, b], key=lambda x: x[:3])
+            for i in sharding.fisher_yates(len(own), f"11:{s * per_shard + b}"):
+                expected.append((None if own[i][0] else own[i][1], own[i][3], s, own[i][4], slot))
+                slot += 1
+    assert per_shard > 1 and sorted(map(str, expected)) == sorted(str((r["doc_id"], r["text"], r["__shard"], r["__grown"], r["__slot"])) for r in got)
+    order = sharding.fisher_yates(5, "x")
+    assert sorted(order) == list(range(5)) and len({tuple(sharding.fisher_yates(3, str(i))) for i in range(200)}) == 6
+
+
+def test_one_doc_id_is_spread_over_its_shard(spark):
+    data = [(None if i % 2 else 7, prose(i, 50), "en", "a") for i in range(400)]
+    scattered = sharding.placed(docs(spark, data), shards=4, per_shard=8, seed=1).groupBy("doc_id", "__bucket").count().collect()
+    assert len(scattered) == 16 and max(r["count"] for r in scattered) < 60
+
+
 def test_mix(spark):
     data = rows() + [(1000 + i, prose(i, 30), "en", "a") for i in range(60)]
     got = mixing.assign(docs(spark, data), digits=1).collect()
@@ -162,7 +208,7 @@ def test_demand_inverse_inverts_the_integral(spark):
 
 def test_language_is_right_on_held_out_documents(spark):
     found = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = language.identify(found, language.fit(found.where("doc_id % 2 = 0")), keys=["doc_id", "lang"], host="source").where("doc_id % 2 = 1 and accepted and lang is not null").collect()
+    got = language.identify(found, language.fit(found.where("doc_id % 2 = 0")), keys=["doc_id", "lang"], levels=["source"]).where("doc_id % 2 = 1 and accepted and lang is not null").collect()
     assert len(got) > 300 and sum(r["language"] == r["lang"] for r in got) >= 0.97 * len(got)
 
 
@@ -187,6 +233,54 @@ def test_language_of_odd_rows(spark):
     assert language.of_documents(docs(spark, [])).count() == 0
 
 
+def _posterior(model, texts, levels, declared, suffix, smoothing=20.0):
+    """The documented formulas, row by row: (language, confidence) of each."""
+    names, table = model
+    n, lls, ps = len(names), [], []
+    for text in texts:
+        grams, _ = language.trigrams([text])
+        ll = table[grams].astype(float).sum(axis=0) * min(len(grams), 200) / max(1, len(grams))
+        lls.append(ll)
+        ps.append(np.exp(ll - ll.max()) / np.exp(ll - ll.max()).sum() if len(grams) else None)
+    out = []
+    for i in range(len(texts)):
+        prior = (sum((p for p in ps if p is not None), np.zeros(n)) + 1) / (sum(p is not None for p in ps) + n)
+        for depth in range(len(levels[i]) - 1, -1, -1):
+            alike = [j for j in range(len(texts)) if levels[j][depth:] == levels[i][depth:] and ps[j] is not None and (depth or j != i)]
+            prior = (sum((ps[j] for j in alike), np.zeros(n)) + smoothing * prior) / (len(alike) + smoothing)
+        logs = lls[i] + np.log(prior)
+        for said, right in ((declared[i], 0.9), (suffix[i], 0.6)):
+            if said in names:
+                logs = logs + np.log([right if k == said else (1 - right) / (n - 1) for k in names])
+        post = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        out.append((names[int(post.argmax())], post.max()))
+    return out
+
+
+def test_languages_against_the_formulas(spark):
+    words = {"en": "the and of is not to in", "de": "der die das und nicht ist", "fr": "le la les et est pas"}
+    say = lambda i, k, m: " ".join(words[k].split()[(i + j) % 5] for j in range(m))
+    data = [(i, say(i, k, 1 + i % 9), k if i % 2 else None, f"s{i % 4}") for i, k in enumerate(["en", "de", "fr"] * 20)] + [(90, None, None, None), (91, "12 34", None, "s1"), (92, 'see <html lang="de"> 1 at http://x.org/fr', None, "s2"), (93, "le http://a.b.fr x", None, None)]
+    table = docs(spark, data)
+    model = language.fit(table)
+    expected = _posterior(model, [r[1] for r in data], [(r[3],) for r in data], ["de" if r[0] == 92 else None for r in data], ["fr" if r[0] == 93 else None for r in data])
+    got = {r["doc_id"]: r for r in language.of_documents(table).collect()}
+    for (d, *_), (name, sure) in zip(data, expected, strict=True):
+        assert got[d]["language"] == name and got[d]["confidence"] == pytest.approx(sure, abs=1e-6)
+    kinds = ["de", "en", None]
+    pages = [(i, f"http://h{i % 5}.d{i % 2}.{('de', 'com', 'fr')[i % 3]}/{'fr/' if i % 7 == 0 else ''}x", f"<html{f' lang={kinds[i % 3]}' if kinds[i % 3] else ''}><body>{say(i, ('en', 'de', 'fr')[i % 3], i % 4)}</body></html>") for i in range(40)]
+    parts = [u.split("/")[2].split(".") for _, u, _ in pages]
+    expected = _posterior(
+        model, [say(i, ("en", "de", "fr")[i % 3], i % 4) for i in range(40)], [(".".join(p), ".".join(p[-2:]), p[-1]) for p in parts], [kinds[i % 3] for i in range(40)],
+        ["fr" if i % 7 == 0 else ("de", None, "fr")[i % 3] for i in range(40)],
+    )
+    clash = spark.createDataFrame([(*p, 1, 2, "x") for p in pages], "page_id long, url string, html string, n int, prior int, language string")
+    got = {r["page_id"]: r for r in language.of_pages(clash, model).collect()}
+    for i, (name, sure) in enumerate(expected):
+        assert got[i]["language"] == name and got[i]["confidence"] == pytest.approx(sure, abs=1e-6)
+    assert language.of_pages(clash.limit(0), model).count() == 0
+
+
 def test_declared_language_and_host_decide_where_the_text_does_not(spark):
     data = [(i, ("der die das und nicht " if i % 2 else "the and of is not ") * 30, "de" if i % 2 else "en", None) for i in range(60)]
     model = language.fit(docs(spark, data))

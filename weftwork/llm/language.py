@@ -76,7 +76,6 @@ def fit(docs: DataFrame, *, label: str = "lang", sample_rows: int = 3000) -> tup
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name is not None:
                     held = total.setdefault(name, np.zeros(BUCKETS, np.int64))
-                    # A long text counts no more than a few short ones.
                     grams, _ = trigrams([text])
                     held += np.bincount(grams, minlength=BUCKETS)
         for name, held in total.items():
@@ -118,75 +117,98 @@ def text_evidence(rows: DataFrame, table: np.ndarray, *, evidence: int = 200) ->
     return rows.mapInArrow(run, schema)
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    shifted = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+    shifted = _with(F.array_max(logs), lambda top: F.transform(logs, lambda x: F.exp(x - top)))
+    return _with(shifted, lambda s: _with(F.aggregate(s, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(s, lambda x: x / total)))
 
 
 def _said(languages: list[str], said: Column, right: float) -> Column:
     """Log likelihoods of what is said (a language code), by language: right if it is that, the rest shared; nothing said or unknown: none."""
-    other = (1 - right) / max(1, len(languages) - 1)
-    known = said.isin(*languages)
-    return F.array(*[F.when(known, F.when(said == k, F.log(F.lit(right))).otherwise(F.log(F.lit(other)))).otherwise(0.0) for k in languages])
+    names, other = F.array(*map(F.lit, languages)), (1 - right) / max(1, len(languages) - 1)
+    known = F.coalesce(said.isin(*languages), F.lit(False))
+    return F.transform(names, lambda k: F.when(~known, F.lit(0.0)).when(said == k, F.log(F.lit(right))).otherwise(F.log(F.lit(other or 1e-9))))
+
+
+def _same(a: list[str], b: list[str]) -> Column:
+    out = F.lit(True)
+    for x, y in zip(a, b, strict=True):
+        out = out & F.col(x).eqNullSafe(F.col(y))
+    return out
 
 
 def identify(
-    rows: DataFrame, model: tuple[list[str], np.ndarray], *, keys: list[str], host: Column | str, domain: Column | str | None = None, declared: Column | str | None = None, suffix: Column | str | None = None,
-    text: Column | str = "text", least: float = 0.5, smoothing: float = 20.0, declared_right: float = 0.9, suffix_right: float = 0.6,
+    rows: DataFrame, model: tuple[list[str], np.ndarray], *, keys: list[str], levels: list[Column | str], declared: Column | str | None = None, suffix: Column | str | None = None, text: Column | str = "text",
+    least: float = 0.5, smoothing: float = 20.0, declared_right: float = 0.9, suffix_right: float = 0.6,
 ) -> DataFrame:
-    """keys of rows with language, confidence, text_language, grams and accepted, a row for each."""
+    """keys of rows with language, confidence, text_language, grams and accepted, a row for each. levels: the host and what it is part of, from the narrowest."""
     languages, table = model
     if not languages:
         nothing = F.lit(None).cast("string")
         return rows.select(*keys, nothing.alias("language"), F.lit(None).cast("double").alias("confidence"), nothing.alias("text_language"), F.lit(0).cast("long").alias("grams"), F.lit(True).alias("accepted"))
     col = lambda x: F.col(x) if isinstance(x, str) else F.lit(None).cast("string") if x is None else x
-    own = rows.select(col(text).alias("__text"), *keys, col(host).alias("__host"), (col(host) if domain is None else col(domain)).alias("__domain"), F.lower(col(declared)).alias("__declared"), F.lower(col(suffix)).alias("__suffix"))
-    held = common.stage(text_evidence(own, table).withColumn("p", F.when(F.col("grams") > 0, _softmax(F.col("ll")))), "evidence")
+    own = [f"__l{i}" for i in range(len(levels))]
+    held = rows.select(col(text).alias("__text"), *keys, *(col(x).alias(k) for x, k in zip(levels, own, strict=True)), F.lower(col(declared)).alias("__declared"), F.lower(col(suffix)).alias("__suffix"))
+    held = common.stage(text_evidence(held, table).withColumn("p", F.when(F.col("grams") > 0, _softmax(F.col("ll")))), "evidence")
     n = len(languages)
-    sums = lambda: [F.count("p").alias("n"), *(F.coalesce(F.sum(F.element_at("p", i + 1)), F.lit(0.0)).alias(f"s{i}") for i in range(n))]
-    by_host = held.groupBy("__domain", "__host").agg(*sums())
-    by_domain = by_host.groupBy("__domain").agg(F.sum("n").alias("n"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(n)))
-    of_all = by_domain.agg(F.sum("n").alias("n"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(n))).first()
-    total = of_all["n"] or 0
-    world = [((of_all[f"s{i}"] or 0.0) + 1) / (total + n) for i in range(n)]
-    domains = by_domain.select(F.col("__domain").alias("d"), F.array(*[(F.col(f"s{i}") + smoothing * world[i]) / (F.col("n") + smoothing) for i in range(n)]).alias("prior_d"))
-    hosts = by_host.join(domains, F.col("__domain").eqNullSafe(F.col("d"))).select(F.col("__domain").alias("d"), F.col("__host").alias("h"), F.col("n").alias("host_n"), F.array(*[F.col(f"s{i}") for i in range(n)]).alias("host_s"), "prior_d")
-    joined = held.join(hosts, F.col("__host").eqNullSafe(F.col("h")) & F.col("__domain").eqNullSafe(F.col("d")))
-    own_p = F.coalesce("p", F.array(*[F.lit(0.0)] * n))
+    added = lambda of: F.array(*(F.coalesce(F.sum(F.element_at(of, i + 1)), F.lit(0.0)) for i in range(n))).alias("s")
+    sums = [held.groupBy(*own).agg(F.count("p").alias("n"), added("p"))]
+    for i in range(1, len(own)):
+        sums.append(sums[-1].groupBy(*own[i:]).agg(F.sum("n").alias("n"), added("s")))
+    total, all_ = sums[-1].agg(F.coalesce(F.sum("n"), F.lit(0)), added("s")).first()
+    prior = F.array(*(F.lit((x + 1) / (total + n)) for x in all_))
+    # From the widest level down; the host's own sums stay apart, as each row takes its own share out of them.
+    above = sums[-1].select(*(F.col(k).alias(f"{k}a") for k in own[-1:]), F.col("n").alias("host_n"), F.col("s").alias("host_s"), prior.alias("prior"))
+    for i in range(len(own) - 2, -1, -1):
+        smoothed = F.zip_with("host_s", "prior", lambda x, q: (x + smoothing * q) / (F.col("host_n") + smoothing))
+        wide = above.select(*(f"{k}a" for k in own[i + 1 :]), smoothed.alias("prior"))
+        above = sums[i].join(wide, _same(own[i + 1 :], [f"{k}a" for k in own[i + 1 :]])).select(*(F.col(k).alias(f"{k}a") if k == own[i] else f"{k}a" for k in own[i:]), F.col("n").alias("host_n"), F.col("s").alias("host_s"), "prior")
+    joined = held.join(above, _same(own, [f"{k}a" for k in own]))
     own_n = F.when(F.col("p").isNull(), 0).otherwise(1)
-    at = lambda c, i: F.element_at(c, i + 1)
-    prior = [(F.greatest(F.lit(0.0), at("host_s", i) - at(own_p, i)) + smoothing * at("prior_d", i)) / (F.col("host_n") - own_n + smoothing) for i in range(n)]
-    declared_ll, suffix_ll = _said(languages, F.col("__declared"), declared_right), _said(languages, F.col("__suffix"), suffix_right)
-    logs = F.array(*[at("ll", i) + F.log(prior[i]) + at("dl", i) + at("sl", i) for i in range(n)])
-    joined = joined.withColumns({"dl": declared_ll, "sl": suffix_ll}).withColumn("post", _softmax(logs))
+    rest = F.zip_with("host_s", F.coalesce("p", F.array_repeat(F.lit(0.0), n)), lambda x, y: F.greatest(F.lit(0.0), x - y))
+    prior = F.zip_with(rest, "prior", lambda x, q: (x + smoothing * q) / (F.col("host_n") - own_n + smoothing))
+    said = F.zip_with(_said(languages, F.col("__declared"), declared_right), _said(languages, F.col("__suffix"), suffix_right), lambda a, b: a + b)
+    logs = F.zip_with(F.zip_with("ll", prior, lambda a, q: a + F.log(q)), said, lambda a, b: a + b)
+    joined = joined.withColumn("post", _softmax(logs))
     names = F.array(*map(F.lit, languages))
-    best = F.element_at(names, F.array_position("post", F.array_max("post")).cast("int"))
-    text_best = F.when(F.col("grams") > 0, F.element_at(names, F.array_position("ll", F.array_max("ll")).cast("int")))
+    pick = lambda of: F.element_at(names, F.array_position(of, F.array_max(of)).cast("int"))
     confidence = F.array_max("post")
-    return joined.select(*keys, best.alias("language"), confidence.alias("confidence"), text_best.alias("text_language"), "grams", ((F.col("grams") > 0) & (confidence >= least)).alias("accepted"))
+    return joined.select(*keys, pick("post").alias("language"), confidence.alias("confidence"), F.when(F.col("grams") > 0, pick("ll")).alias("text_language"), "grams", ((F.col("grams") > 0) & (confidence >= least)).alias("accepted"))
+
+
+def _found(c: Column, pattern: str) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(c, pattern, 1)), F.lit(""))
+
+
+DECLARED = r"""(?i)<html[^>]*\blang\s*=\s*["']?([A-Za-z]{2,3})"""
 
 
-def of_documents(docs: DataFrame, **options) -> DataFrame:
-    """identify() for docs (doc_id, text, lang, source): lang is the label to fit on, source the host."""
-    return identify(docs, fit(docs), keys=["doc_id"], host="source", **options)
+def of_documents(docs: DataFrame, *, keys: tuple = ("doc_id",), **options) -> DataFrame:
+    """identify() for docs (doc_id, text, lang, source): lang is the label to fit on, source the host; markup and addresses that the text itself holds are evidence too."""
+    text = F.col("text")
+    declared = F.when(text.contains("<html"), _found(text, DECLARED))
+    suffix = F.when(text.contains("://"), _found(text, r"://[^\s/:?#]+\.([A-Za-z]{2})(?![\w.])"))
+    return identify(docs, fit(docs), keys=list(keys), levels=["source"], declared=declared, suffix=suffix, **options)
 
 
 def of_pages(pages: DataFrame, model: tuple[list[str], np.ndarray], **options) -> DataFrame:
-    """identify() for pages (page_id, url, html) with their markup's lang, address and host."""
+    """identify() for pages (page_id, url, html) with their markup's lang, address, host, its domain and the domain's zone."""
     url, html = F.col("url"), F.col("html")
-    host = F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://([^/:?#]+)", 1)), F.lit(""))
-    domain = F.element_at(F.split(host, r"\."), -2)
-    domain = F.when(F.size(F.split(host, r"\.")) >= 2, F.concat_ws(".", domain, F.element_at(F.split(host, r"\."), -1))).otherwise(host)
-    declared = F.nullif(F.lower(F.regexp_extract(html, r"""(?i)<html[^>]*\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)), F.lit(""))
-    path = F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://[^/]+/([A-Za-z]{2})(?:[/?#]|$)", 1)
-    suffix = F.coalesce(F.nullif(path, F.lit("")), F.nullif(F.regexp_extract(host, r"\.([a-z]{2})$", 1), F.lit("")))
+    host = _found(url, r"^[A-Za-z][\w+.-]*://([^/:?#]+)")
+    parts = F.split(host, r"\.")
+    zone = F.element_at(parts, -1)
+    domain = F.when(F.size(parts) >= 2, F.concat_ws(".", F.element_at(parts, -2), zone)).otherwise(host)
+    suffix = F.coalesce(_found(url, r"^[A-Za-z][\w+.-]*://[^/]+/([A-Za-z]{2})(?:[/?#]|$)"), F.nullif(F.regexp_extract(host, r"\.([a-z]{2})$", 1), F.lit("")))
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", " ")
-    return identify(pages, model, keys=["page_id"], host=host, domain=domain, declared=declared, suffix=suffix, text=bare, **options)
+    return identify(pages, model, keys=["page_id"], levels=[host, domain, zone], declared=_found(html, DECLARED), suffix=suffix, text=bare, **options)
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that are rejected; all columns stay."""
     rows = common.with_row(docs)
-    gone = identify(rows, fit(docs), keys=["__file", "__at"], host="source", **options).where(~F.col("accepted"))
+    gone = of_documents(rows, keys=("__file", "__at"), **options).where(~F.col("accepted"))
     return common.without_rows(rows, gone)

@@ -3,7 +3,9 @@
 The first pass scatters the records by seeded hashes into buckets of a size that fits in memory; the second shuffles
 each bucket (Fisher-Yates, seeded by the bucket) and writes it. A bucket belongs to one shard. The shard is the jump
 consistent hash of the seeded doc_id and the number of shards alone (law "key"), so one more shard takes rows only into
-itself; a record's slot is its place among the shuffled buckets of its shard.
+itself; a record's slot is its place among the shuffled buckets of its shard. Within its shard a record's bucket comes
+from a hash of its whole row, so that the rows of one doc_id, or those without one, are spread over the shard's buckets;
+only rows that are equal in all columns share one.
 
 Defined results: a null text has size 1 and crc32 0; a null doc_id hashes as such; rows that share a doc_id share a
 shard, each with its slot; equal texts with different ids are independent; an empty table gives no rows; all columns of
@@ -44,20 +46,22 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def placed(docs: DataFrame, *, shards: int, per_shard: int, seed: int) -> DataFrame:
-    """docs with __shard, __grown (with one more shard) and __bucket; only the ids go to Python."""
+    """docs with __shard, __grown (with one more shard), __bucket and __hash, that of the whole row; only ids and hashes go to Python."""
 
     @F.pandas_udf("struct<shard: int, grown: int, bucket: long>")
-    def place(ids):
+    def place(ids, hashes):
         import pandas as pd
 
         null = ids.isna().to_numpy()
         keys = mixed(ids.fillna(0).to_numpy().astype(np.int64).view(np.uint64), seed)
         keys[null] = mixed(np.array([seed], np.uint64), seed + 1)
         shard = jump_hash(keys, shards)
-        sub = mixed(keys, seed + 2) % np.uint64(per_shard)
+        sub = mixed(hashes.to_numpy().astype(np.int64).view(np.uint64), seed + 2) % np.uint64(per_shard)
         return pd.DataFrame({"shard": shard.astype(np.int32), "grown": jump_hash(keys, shards + 1).astype(np.int32), "bucket": shard * per_shard + sub.astype(np.int64)})
 
-    return docs.withColumn("__place", place(F.col("doc_id").cast("long"))).withColumns({"__shard": F.col("__place.shard"), "__grown": F.col("__place.grown"), "__bucket": F.col("__place.bucket")}).drop("__place")
+    own = docs.withColumn("__hash", F.xxhash64(F.lit(seed), *docs.columns))
+    own = own.withColumn("__place", place(F.col("doc_id").cast("long"), "__hash"))
+    return own.withColumns({"__shard": F.col("__place.shard"), "__grown": F.col("__place.grown"), "__bucket": F.col("__place.bucket")}).drop("__place")
 
 
 def fisher_yates(n: int, seed: str) -> list[int]:
@@ -71,27 +75,22 @@ def fisher_yates(n: int, seed: str) -> list[int]:
 
 def shard(docs: DataFrame, *, shards: int = 16, bucket_bytes: int = 16 << 20, seed: int = 11) -> DataFrame:
     """Shards docs (doc_id, text, ...) and writes them to the shared folder; what it reads back has all columns, __shard, __grown and __slot."""
-    per_shard = max(1, -(-common.text_bytes(docs) // (shards * bucket_bytes)))
+    size = common.text_bytes(docs)
+    per_shard = max(1, -(-size // (shards * bucket_bytes)))
     scattered = placed(docs, shards=shards, per_shard=per_shard, seed=seed)
     schema = scattered.withColumn("__pos", F.lit(0).cast("long")).schema
     columns = schema.names[:-1]
 
     def run(key: tuple, records: pa.Table) -> pa.Table:
-        stable = records.append_column("__crc", pa.array([hash_of(x) for x in records["text"]], pa.int64())).append_column("__row", pa.array(range(len(records))))
-        stable = stable.sort_by([("doc_id", "ascending"), ("__crc", "ascending"), ("__row", "ascending")])
+        stable = records.append_column("__row", pa.array(range(len(records)))).sort_by([("doc_id", "ascending"), ("__hash", "ascending"), ("__row", "ascending")])
         order = fisher_yates(len(stable), f"{seed}:{key[0].as_py()}")
         return stable.select(columns).take(pa.array(order, pa.int64())).append_column("__pos", pa.array(range(len(stable)), pa.int64()))
 
-    written = common.stage(scattered.groupBy("__bucket").applyInArrow(run, schema), "shards")
+    parts = common.parts_for(docs.sparkSession, shards * per_shard, 1)
+    written = common.stage(scattered.repartition(parts, "__bucket").groupBy("__bucket").applyInArrow(run, schema), "shards")
     counts = written.groupBy("__shard", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     out = written.join(offsets, written["__bucket"] == offsets["__b"])
     return out.select(*docs.columns, "__shard", "__grown", (F.col("__before") + F.col("__pos")).alias("__slot"))
 
-
-def hash_of(text: pa.Scalar) -> int:
-    import zlib
-
-    value = text.as_py()
-    return -1 if value is None else zlib.crc32(value.encode("utf-8", "surrogatepass"))
