@@ -23,3 +23,7 @@ class ExportError(WeftError):
 
 class ReplayMiss(WeftError):
     """A request that the cassette has no answer for."""
+
+
+class MissingKey(WeftError):
+    """A live client without its key or address."""

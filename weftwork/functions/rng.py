@@ -15,12 +15,6 @@ def uniform(key: str, row: Column, draw: int = 0) -> Column:
     return bits.cast("double") / F.lit(float(1 << 53))
 
 
-def portable_uniform(key: str, row: Column) -> Column:
-    """Like uniform, from an md5 that other SQL engines compute alike."""
-    digest = F.substring(F.md5(F.concat_ws(":", F.lit(key), row.cast("string"))), 1, 13)
-    return F.conv(digest, 16, 10).cast("double") / F.lit(float(1 << 52))
-
-
 def normal(key: str, row: Column, mean: float, std: float) -> Column:
     """Box and Muller, from two draws."""
     radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(key, row, 1)))

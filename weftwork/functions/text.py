@@ -11,11 +11,6 @@ def normalized(c: Column) -> Column:
     return F.replace(F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " "))), F.lit("ß"), F.lit("ss"))
 
 
-def unquoted(c: Column) -> Column:
-    """Without matching quotes around it."""
-    return F.trim(F.regexp_replace(F.trim(c), r"""^(["'])(.*)\1$""", "$2"))
-
-
 def words(c: Column) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), lambda x: x != "")
 
@@ -75,7 +70,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def score(c: Column) -> Column:
     """A mark from 0 to 5, rounded; 0 if it is no number."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(5), F.bround(c.try_cast("double"), 0).cast("int"))), F.lit(0))
+    mark = F.bround(c.try_cast("double"), 0)
+    return F.when(mark.isNull() | F.isnan(mark), 0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(5.0), mark)).cast("int"))
 
 
 def unanswerable(c: Column) -> Column:
@@ -84,10 +80,3 @@ def unanswerable(c: Column) -> Column:
 
 def request_key(canonical_json: Column) -> Column:
     return F.sha2(canonical_json, 256)
-
-
-def json_body(c: Column) -> Column:
-    """The JSON of a reply: a fenced block, or from its first bracket to the last of its kind."""
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    found = F.regexp_extract(c, r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.nullif(F.trim(F.when(fenced != "", fenced).otherwise(found)), F.lit(""))

@@ -19,7 +19,10 @@ from weftwork.sources.io import RawData
 EVIDENCE, MOST_LABELS, CHUNK = 20, 50, 200
 KINDS = ("bool", "int", "float", "date", "datetime", "uuid", "email", "string")
 _INT, _FLOAT = r"^[+-]?(0|[1-9]\d*)$", r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-_DATE, _TIME = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
+#: Shapes of dates and moments, each digit as 9; parts of seconds and zones are taken off before.
+_DAY, _MOMENTS = "9999-99-99", [f"9999-99-99{gap}{clock}" for gap in "T " for clock in ("99:99", "99:99:99")]
+#: Plural endings and what the singular has in their place; fixed values, the first that fits counts.
+_PLURALS = (("ies", "y"), ("ses", "s"), ("xes", "x"), ("ss", "ss"), ("s", ""))
 _EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 _FLAG = re.compile(r"^(is|has|can|should|was)_|_flag$")
 
@@ -35,12 +38,23 @@ def shares(df: DataFrame, c: str) -> DataFrame:
     return counts.join(F.broadcast(total)).select("label", "n", F.round(F.col("n") / F.col("total"), 9).alias("observed"))
 
 
+def _shape(text: Column) -> Column:
+    return F.translate(text, "012345678", "9" * 9)
+
+
+def _is_moment(text: Column) -> Column:
+    """A date and a time of day, with seconds or without, parts of seconds only after seconds, and perhaps a zone."""
+    local = F.regexp_replace(_shape(text), r"(?:Z|[+-]99:?99)$", "")
+    whole = F.regexp_replace(local, r"(:99:99)\.9+$", "$1")
+    return whole.isin(*_MOMENTS)
+
+
 def _fits(kind: str, name: str, c: Column) -> Column:
     text = F.trim(c)
     words = ["true", "false"] + (["0", "1"] if _FLAG.search(name) else [])
     return {
         "bool": F.lower(text).isin(*words), "int": text.rlike(_INT), "float": text.rlike(_FLOAT) & text.rlike(r"^[+-]?(0(?!\d)|[1-9]|\.|0\.)") & text.try_cast("double").isNotNull(),
-        "date": text.rlike(_DATE) & text.try_cast("date").isNotNull(), "datetime": text.rlike(_TIME) & F.substring(F.replace(text, F.lit("T"), F.lit(" ")), 1, 19).try_cast("timestamp_ntz").isNotNull(),
+        "date": (_shape(text) == _DAY) & text.try_cast("date").isNotNull(), "datetime": _is_moment(text) & F.substring(F.replace(text, F.lit("T"), F.lit(" ")), 1, 19).try_cast("timestamp_ntz").isNotNull(),
         "uuid": text.rlike(pools.UUID), "email": text.rlike(_EMAIL), "string": F.lit(True),
     }[kind]
 
@@ -293,12 +307,16 @@ def _primary(columns: list[Profile]) -> None:
 
 
 def _singular(name: str) -> str:
-    return name[:-3] + "y" if name.endswith("ies") else name[:-2] if name.endswith(("ses", "xes")) else name[:-1] if name.endswith("s") and not name.endswith("ss") else name
+    end, one = next((x for x in _PLURALS if name.endswith(x[0])), ("", ""))
+    return name.removesuffix(end) + one
 
 
 def _named(f: str, parent: str, key: str) -> bool:
-    f, one = f.lower(), _singular(parent.lower())
-    return f == key.lower() and f not in ("id", "name") or f in (f"{one}_id", f"{parent.lower()}_id", one, f"{one}_uuid", f"{one}{key.lower()}") or f.endswith(f"_{one}_id")
+    """Whether a column's name says that it holds the parent's key: the key's own name, the parent's with a usual ending, or a name that ends with a key's that says something."""
+    f, parent, key = f.lower(), parent.lower(), key.lower()
+    one = _singular(parent)
+    usual = {key, one, f"{parent}_id", *(f"{one}_{end}" for end in ("id", "uuid", "key", "code"))}
+    return f in usual or key not in ("id", "uuid", "key") and (f.endswith(f"_{key}") or len(key) > 3 and f.endswith(key))
 
 
 def _foreign_keys(columns: dict, values: dict, relations: list[str]) -> list[tuple[str, str, str, str]]:
@@ -314,7 +332,7 @@ def _foreign_keys(columns: dict, values: dict, relations: list[str]) -> list[tup
                     if parent == child and (k.spec["type"] not in ("id", "uuid") or not p.nulls or not re.search(r"_(id|uuid)$", p.name.lower())):
                         continue
                     name = _named(p.name, parent, k.name) or parent == child
-                    if not name and (p.kind in ("int", "email") or p.spec["type"] == "category"):
+                    if not name and p.kind in ("int", "email"):
                         continue
                     if p.distinct > k.distinct or p.low < k.low or p.high > k.high:
                         continue

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftwork.functions import pools
 from weftwork.plans.generate import Dataset
 from weftwork.plans.schema import Field, Schema, Table, bounds, is_key, window
+from weftwork.staging import stage, unstage
 
 NOTICE = "Synthetic data: checks hold the tables against their schema, not against the world."
 
@@ -169,13 +170,23 @@ def deviation(counts: dict, weights: dict) -> tuple[float, object, list]:
     return gaps.get(worst, 0.0), worst, sorted((k for k in counts if k not in weights), key=str)
 
 
+def label_counts(df: DataFrame, name: str, labels: list) -> tuple[dict, int, object]:
+    """(counts of the labels, rows of any other, the least of those): what reaches the driver is bounded by what is declared."""
+    c = F.col(name)
+    declared = c.isin(*labels) if labels else F.lit(False)
+    rows = df.where(c.isNotNull()).groupBy(F.when(declared, c).alias("label")).agg(F.count("*").alias("n"), F.min(F.when(~declared, c)).alias("example")).collect()
+    counts = {r["label"]: r["n"] for r in rows if r["label"] is not None}
+    other = next((r for r in rows if r["label"] is None), None)
+    return counts, other["n"] if other else 0, other["example"] if other else None
+
+
 def _distribution(report: Report, df: DataFrame, t: Table, f: Field, tolerance: float) -> None:
     if not f.get("when"):
-        counts = {r[0]: r["n"] for r in df.where(F.col(f.name).isNotNull()).groupBy(f.name).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(10_000).collect()}
-        gap, worst, odd = deviation(counts, f.get("categories"))
-        n = sum(counts.values())
+        counts, others, example = label_counts(df, f.name, list(f.get("categories")))
+        gap, worst, _ = deviation(counts | ({None: others} if others else {}), f.get("categories"))
+        n, odd = sum(counts.values()) + others, [example] if others else []
         ok = n == 0 or not odd and (f.unique or gap <= max(tolerance, 1 / n) + 1e-12)
-        report.add("distribution", t.name, f.name, ok, f"labels that aren't declared: {odd[:5]}" if odd else f"largest difference {gap:.4f} ({worst})", bad=sum(counts[k] for k in odd) or int(not ok))
+        report.add("distribution", t.name, f.name, ok, f"labels that aren't declared: {odd[:5]}" if odd else f"largest difference {gap:.4f} ({worst})", bad=others or int(not ok))
         return
     rows = df.where(F.col(f.name).isNotNull()).groupBy(case_column(f, df).alias("case"), F.col(f.name).alias("label")).agg(F.count("*").alias("n")).collect()
     by: dict = {}
@@ -208,22 +219,22 @@ def uncovered(parent: DataFrame, key: str, child: DataFrame, fk: str, least: int
 
 
 def looping(df: DataFrame, key: str, parent: str, *, rounds: int = 64) -> DataFrame:
-    """Nodes from which following parents never ends, by doubling the steps of all pointers each round."""
-    spark = df.sparkSession
-    hops = df.where(F.col(key).isNotNull() & F.col(parent).isNotNull()).select(F.col(key).alias("node"), F.col(parent).alias("at"))
-    own = df.select(F.col(key).alias("k")).distinct()
-    hops = hops.join(own, F.col("at") == F.col("k"), "left_semi")
-    n = df.count()
-    for i in range(min(rounds, max(1, n).bit_length() + 1)):
+    """Nodes from which following parents never ends, by doubling the steps of all pointers each round; it ends when none is left.
+
+    A key that repeats is one node, and of several parents the least counts, so that a round never has more rows than nodes.
+    """
+    hops = df.where(F.col(key).isNotNull() & F.col(parent).isNotNull()).groupBy(F.col(key).alias("node")).agg(F.min(parent).alias("at"))
+    own = df.select(F.col(key).alias("k")).where("k is not null").distinct()
+    hops = stage(hops.join(own, F.col("at") == F.col("k"), "left_semi"), "hops")
+    n = hops.count()
+    for _ in range(min(rounds, n.bit_length() + 1)):
         ahead = hops.select(F.col("node").alias("mid"), F.col("at").alias("next"))
-        hops = hops.join(ahead, F.col("at") == F.col("mid")).select("node", F.col("next").alias("at"))
-        if i % 4 == 3:
-            if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-                import tempfile
-
-                spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftwork-"))
-            hops = hops.checkpoint()
-    return hops.select("node").distinct()
+        further = stage(hops.join(ahead, F.col("at") == F.col("mid")).select("node", F.col("next").alias("at")), "hops")
+        unstage(hops)
+        hops = further
+        if not hops.limit(1).count():
+            break
+    return hops.select("node")
 
 
 def _relation(report: Report, data: Dataset, t: Table, f: Field) -> None:
@@ -294,9 +305,9 @@ def _summary(df: DataFrame, f: Field) -> dict:
         return r.asDict()
     n, nulls = df.agg(F.count("*"), F.count(F.when(c.isNull(), 1))).first()
     if f.type in ("category", "bool"):
-        counts = {r[0]: r["n"] for r in df.where(c.isNotNull()).groupBy(c).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(10_000).collect()}
         shares = f.get("categories") or {True: f.get("true_rate", 0.5), False: 1 - f.get("true_rate", 0.5)}
         total = sum(shares.values())
+        counts, _, _ = label_counts(df, f.name, list(shares))
         return {"count": n, "nulls": nulls, "values": {k: {"observed": counts.get(k, 0) / max(1, n - nulls), "expected": w / total} for k, w in shares.items()}}
     distinct, sample = df.agg(F.count_distinct(c), F.min(c)).first()
     return {"count": n, "nulls": nulls, "distinct": distinct, "sample": sample}

@@ -259,8 +259,8 @@ INSTRUCTIONS = {
 }
 
 
-def chat_messages(df: DataFrame, *, system: str | None = None, include_context: bool = False) -> DataFrame:
-    """(messages): each record as a conversation, by its shape: question and answer, text and label, known kinds, else its JSON."""
+def chat_messages(df: DataFrame, *, system: str | None = None, include_context: bool = False, keep: tuple | list = ()) -> DataFrame:
+    """(keep, messages): each record as a conversation, by its shape: question and answer, text and label, known kinds, else its JSON."""
     has = lambda *names: all(n in df.columns for n in names)
     text = lambda n: F.col(n).cast("string") if n in df.columns else F.lit(None).cast("string")
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -280,7 +280,7 @@ def chat_messages(df: DataFrame, *, system: str | None = None, include_context:
         user, answer, teach = F.when(both, asked).otherwise(user), F.when(both, text("answer")).otherwise(answer), F.when(both, F.lit(None)).otherwise(teach)
     lead = F.lit(system) if system else teach
     pair = F.array(message("user", user), message("assistant", answer))
-    return df.select(F.when(lead.isNotNull(), F.concat(F.array(message("system", lead)), pair)).otherwise(pair).alias("messages"))
+    return df.select(*keep, F.when(lead.isNotNull(), F.concat(F.array(message("system", lead)), pair)).otherwise(pair).alias("messages"))
 
 
 def to_chat_jsonl(df: DataFrame, path: str | Path, **options) -> int:
