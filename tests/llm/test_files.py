@@ -71,6 +71,8 @@ def test_media_of_texts(spark):
         assert (row["payload_sha256"], row["tail_crc32"]) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         media = mpeg_audio.store(payload)
         assert (row["media_bytes"], row["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest()) and row["feature"].endswith("whole")
+        parsed = mpeg_audio.parse(media)
+        assert (row["samples"], row["hertz"], row["offsets"]) == (parsed["samples"], 44100, parsed["offsets"])
     assert mpeg_audio.media_digests(docs(spark, [])).count() == 0
 
 
@@ -92,6 +94,63 @@ def test_parser_finds_frames_again_and_counts_bad_checksums():
     assert nothing["frames"] == 0 and nothing["hertz"] is None
 
 
+def _crc_of_bits(bits: str) -> int:
+    crc = 0xFFFF
+    for bit in bits:
+        top = crc >> 15 ^ int(bit)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return crc
+
+
+def _bits(data: bytes) -> str:
+    return "".join(f"{b:08b}" for b in data)
+
+
+def _frame(head: bytes, checked: str, length: int) -> bytes:
+    body = checked + "01" * (4 * length)
+    crc = _crc_of_bits(_bits(head[2:4]) + checked)
+    return (head + struct.pack(">H", crc) + int(body[: 8 * (length - 6)], 2).to_bytes(length - 6, "big"))[:length]
+
+
+@pytest.mark.parametrize(
+    ("head", "checked", "length"),
+    [
+        (b"\xff\xfe\x40\xc0", "0101" * 32, 136),  # Layer I, 128 kbit/s, one channel
+        (b"\xff\xfe\x40\x50", "0011" * 2 * 8 + "1001" * 24, 136),  # joint stereo from subband 8
+        (b"\xff\xfc\x84\x00", ("0001" * 22 + "010" * 24 + "01" * 8) + "10" * 54, 384),  # Layer II, 128 kbit/s at 48 kHz, two channels: 27 subbands, all selected
+        (b"\xff\xfc\x14\xc0", "0000" * 2 + "001" * 6 + "11" * 6, 96),  # 32 kbit/s: 8 subbands, two of them empty
+        (b"\xff\xf4\x84\xc0", "1111" * 4 + "000" * 7 + "00" * 19 + "01" * 4, 384),  # version 2
+    ],
+)
+def test_checksums_of_other_layers(head, checked, length):
+    frame = _frame(head, checked, length)
+    assert mpeg_audio.header(head)["length"] == length
+    good = mpeg_audio.parse(frame * 3)
+    assert (good["frames"], good["bad_crc"], good["skipped"]) == (3, 0, 0)
+    torn = bytearray(frame * 3)
+    torn[length + 6] ^= 4
+    assert mpeg_audio.parse(bytes(torn))["bad_crc"] == 1
+    torn = bytearray(frame * 3)
+    torn[2 * length - 1] ^= 4  # beyond what the checksum covers
+    assert mpeg_audio.parse(bytes(torn))["bad_crc"] == 0
+
+
+def test_free_bitrate_and_the_other_table():
+    head = b"\xff\xfb\x00\xc4"
+    frames = [head + bytes(17) + bytes([i]) * 500 for i in (1, 2, 3)]
+    padded = b"\xff\xfb\x02\xc4" + bytes(17) + b"\x09" * 501
+    found = mpeg_audio.parse(b"".join([*frames, padded, frames[0]]))
+    assert found["frames"] == 5 and not found["skipped"] and found["offsets"] == [0, 521, 1042, 1563, 2085] and found["samples"] == 5 * 1152
+    payload = bytes(range(250)) * 20
+    plain = mpeg_audio.store(payload)
+    start = mpeg_audio.parse(plain)["offsets"][0]
+    first, room = mpeg_audio._frames()[4]
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 9999, 5, 2, 1, 2, 3) + struct.pack(">HH", 1000, 500)
+    lead = (first + bytes(36 - len(first)) + table).ljust(len(first) + room, b"\0")
+    found = mpeg_audio.parse(lead + plain[start:])
+    assert found["table"] == {"frames": 5, "bytes": 9999, "toc": [1000, 1500], "frames_each": 3} and b"".join(found["bodies"])[: len(payload)] == payload
+
+
 def pages(spark, data):
     return spark.createDataFrame(data, "page_id long, url string, html string, digest string, first long, n int").repartition(2)
 
@@ -109,6 +168,9 @@ def test_archives(spark, tmp_path):
         expected.append((page, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if to is not None else "response", to))
     key = lambda x: tuple((v is not None, v or 0) for v in x[:2])
     assert sorted(map(tuple, got), key=key) == sorted(expected, key=key)
+    small = warc.write_archives(pages(spark, [(*x, "d", 1, 2) for x in data]), f"file://{tmp_path}/small", archive_bytes=900)
+    assert len(small) > 4 and sum(r["records"] for r in small) == len(data)
+    assert sorted(map(tuple, warc.read_archives(spark, f"file://{tmp_path}/small", small).collect()), key=key) == sorted(expected, key=key)
     assert not os.path.exists(tmp_path / "none")
     assert warc.read_archives(spark, f"file://{tmp_path}/none", warc.write_archives(pages(spark, []), f"file://{tmp_path}/none")).count() == 0
 

@@ -1,8 +1,9 @@
 """Operator 8: MPEG audio columns.
 
 parse() reads MPEG audio of any version and layer: it skips and reads ID3 tags, finds frame headers again after
-anything that isn't a frame, reads the variable-bitrate table (Xing or Info), verifies each frame's CRC-16, and gives
-the exact duration and the offset of every frame, to seek by.
+anything that isn't a frame, also those of free bitrate, reads the variable-bitrate table (Xing, Info or VBRI), verifies
+each frame's CRC-16 (over the side information of Layer III, the allocation of Layer I, allocation and scale factor selection of Layer II), and
+gives the exact duration and the offset of every frame, to seek by.
 
 store() keeps bytes losslessly as such a file: Layer III frames of silence (their side information claims no main data)
 hold the payload as ancillary data, in frames of 320 kbit/s and a last one of the least rate that fits; the first frame
@@ -36,36 +37,90 @@ RATES = {
     (2, 2): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     (2, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+#: Layer II: subbands by the bits of their allocation, of each table: (subbands, bits), in order.
+ALLOCATION = {
+    "high rates at 48 kHz, middle rates": ((11, 4), (12, 3), (4, 2)),
+    "high rates at 44.1 and 32 kHz": ((11, 4), (12, 3), (7, 2)),
+    "low rates at 48 and 44.1 kHz": ((2, 4), (6, 3)),
+    "low rates at 32 kHz": ((2, 4), (10, 3)),
+    "version 2": ((4, 4), (7, 3), (19, 2)),
+}
 SAMPLES = {(1, 1): 384, (1, 2): 1152, (1, 3): 1152, (2, 1): 384, (2, 2): 1152, (2, 3): 576}
 
 
 @lru_cache(maxsize=4096)
 def header(raw: bytes) -> dict | None:
-    """The fields of a frame's four header bytes; None if they are none."""
+    """The fields of a frame's four header bytes; None if they are none. A free bitrate has no length of its own."""
     if len(raw) < 4 or raw[0] != 0xFF or raw[1] & 0xE0 != 0xE0:
         return None
     version, layer = {3: 1, 2: 2, 0: 2.5}.get(raw[1] >> 3 & 3), 4 - (raw[1] >> 1 & 3)
     index, rate = raw[2] >> 4, raw[2] >> 2 & 3
-    if version is None or layer == 4 or index in (0, 15) or rate == 3 or raw[3] & 3 == 2:
+    if version is None or layer == 4 or index == 15 or rate == 3 or raw[3] & 3 == 2:
         return None
     kind = (1 if version == 1 else 2, layer)
-    bits = RATES[kind][index - 1] * 1000
+    bits = RATES[kind][index - 1] * 1000 if index else 0
     hertz = (44100, 48000, 32000)[rate] // {1: 1, 2: 2, 2.5: 4}[version]
-    pad = raw[2] >> 1 & 1
-    length = (12 * bits // hertz + pad) * 4 if layer == 1 else SAMPLES[kind] // 8 * bits // hertz + pad
-    mono = raw[3] >> 6 == 3
+    pad, mode = raw[2] >> 1 & 1, raw[3] >> 6
+    length = None if not index else (12 * bits // hertz + pad) * 4 if layer == 1 else SAMPLES[kind] // 8 * bits // hertz + pad
+    mono = mode == 3
     side = 0 if layer != 3 else {(1, True): 17, (1, False): 32, (2, True): 9, (2, False): 17}[kind[0], mono]
-    return {"version": version, "layer": layer, "bits": bits, "hertz": hertz, "length": length, "samples": SAMPLES[kind], "crc": not raw[1] & 1, "side": side, "channels": 1 if mono else 2}
+    joint = 4 * ((raw[3] >> 4 & 3) + 1) if mode == 1 else None  # the subband from which two channels share their allocation
+    return {"version": version, "layer": layer, "bits": bits, "hertz": hertz, "length": length, "pad": pad * (4 if layer == 1 else 1), "samples": SAMPLES[kind], "crc": not raw[1] & 1, "side": side, "channels": 1 if mono else 2, "joint": joint}
+
+
+def allocation_bits(found: dict, length: int) -> list[int]:
+    """Bits of the allocation of each subband of a Layer I or II frame."""
+    if found["layer"] == 1:
+        return [4] * 32
+    rate = (found["bits"] or length * 8 * found["hertz"] // found["samples"]) // found["channels"] // 1000
+    if found["version"] != 1:
+        name = "version 2"
+    elif found["hertz"] == 48000 and rate >= 56 or 56 <= rate <= 80:
+        name = "high rates at 48 kHz, middle rates"
+    elif found["hertz"] != 48000 and rate >= 96:
+        name = "high rates at 44.1 and 32 kHz"
+    else:
+        name = "low rates at 48 and 44.1 kHz" if found["hertz"] != 32000 else "low rates at 32 kHz"
+    return [bits for many, bits in ALLOCATION[name] for _ in range(many)]
+
+
+def covered(frame: bytes, found: dict) -> tuple[bytes, int]:
+    """(what a frame's CRC covers besides the header's last two bytes, its number of bits)."""
+    if found["layer"] == 3:
+        return frame[6 : 6 + found["side"]], 8 * found["side"]
+    stream, size = int.from_bytes(frame[6:], "big"), 8 * (len(frame) - 6)
+    at = selected = 0
+    for band, bits in enumerate(allocation_bits(found, len(frame))):
+        shared = found["joint"] is not None and band >= found["joint"]
+        for _ in range(1 if shared else found["channels"]):
+            at += bits
+            if at <= size and stream >> (size - at) & ((1 << bits) - 1):
+                selected += found["channels"] if shared else 1
+    at += 2 * selected if found["layer"] == 2 else 0
+    return frame[6 : 6 + -(-at // 8)], at
+
+
+def free_length(media: bytes, at: int, end: int) -> int | None:
+    """The length, without padding, of a frame of free bitrate: up to the next header like its own."""
+    own = header(media[at : at + 4])
+    to = at + 4
+    while (to := media.find(media[at : at + 2], to, end)) >= 0:
+        then = header(media[to : to + 4])
+        if then is not None and then["length"] is None and (then["hertz"], then["channels"]) == (own["hertz"], own["channels"]):
+            return to - at - own["pad"]
+        to += 1
+    return None
 
 
 @lru_cache(maxsize=65536)
-def crc16(covered: bytes) -> int:
-    """The CRC of MPEG audio: polynomial 0x8005 from 0xFFFF, most significant bit first."""
-    crc = 0xFFFF
-    for byte in covered:
-        crc ^= byte << 8
-        for _ in range(8):
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The CRC of MPEG audio over the first bits of data, or all: polynomial 0x8005 from 0xFFFF, most significant bit first."""
+    crc, left = 0xFFFF, 8 * len(data) if bits is None else bits
+    for byte in data:
+        crc ^= byte << 8 & (0xFFFF << max(0, 16 - left))
+        for _ in range(min(8, left)):
             crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+        left = max(0, left - 8)
     return crc
 
 
@@ -133,35 +188,51 @@ def parse(media: bytes) -> dict:
     tags, at = read_id3(media)
     end = len(media) - 128 * (media[-128:-125] == b"TAG" and len(media) >= 128)
     out = {"tags": tags, "table": None, "frames": 0, "samples": 0, "hertz": None, "bad_crc": 0, "skipped": 0, "offsets": [], "bodies": [], "layer": None, "version": None}
-    synced = False
+    synced, free = False, None
+
+    def at_place(place: int) -> dict | None:
+        """The header at a place, with the length of a free bitrate filled in."""
+        nonlocal free
+        found = header(media[place : place + 4]) if place + 4 <= end else None
+        if found is not None and found["length"] is None:
+            free = free_length(media, place, end) if free is None else free
+            found = None if free is None else found | {"length": free + found["pad"]}
+        return found
+
     while at + 4 <= end:
-        found = header(media[at : at + 4])
+        found = at_place(at)
         if found is not None and at + found["length"] <= end and not synced:
             # A header counts anew only if another follows its frame, or the end does.
             after = at + found["length"]
-            then = header(media[after : after + 4]) if after + 4 <= end else None
+            then = at_place(after)
             if after != end and (then is None or (then["version"], then["layer"], then["hertz"]) != (found["version"], found["layer"], found["hertz"])):
                 found = None
         if found is None or at + found["length"] > end:
-            synced = False
+            synced, free = False, None
             to = media.find(b"\xff", at + 1, end)
             to = end if to < 0 else to
             out["skipped"] += to - at
             at = to
             continue
         synced = True
-        data = at + 4 + 2 * found["crc"] + found["side"]
+        frame = media[at : at + found["length"]]
+        data = 4 + 2 * found["crc"] + found["side"]
         first = out["hertz"] is None
         if first:
             out |= {k: found[k] for k in ("hertz", "layer", "version")}
-        if found["crc"] and found["layer"] == 3 and struct.unpack_from(">H", media, at + 4)[0] != crc16(media[at + 2 : at + 4] + media[at + 6 : data]):
+        own, bits = covered(frame, found) if found["crc"] else (b"", 0)
+        if found["crc"] and struct.unpack_from(">H", frame, 4)[0] != crc16(frame[2:4] + own, 16 + bits):
             out["bad_crc"] += 1
-        elif first and media[data : data + 4] in (b"Xing", b"Info"):
-            out["table"] = _table(media[data : at + found["length"]])
+        elif first and frame[data : data + 4] in (b"Xing", b"Info"):
+            out["table"] = _table(frame[data:])
+            at += found["length"]
+            continue
+        elif first and frame[36:40] == b"VBRI":
+            out["table"] = _vbri(frame[36:])
             at += found["length"]
             continue
         else:
-            out["bodies"].append(media[data : at + found["length"]])
+            out["bodies"].append(frame[data:])
         out["offsets"].append(at)
         out["frames"] += 1
         out["samples"] += found["samples"]
@@ -182,6 +253,13 @@ def _table(raw: bytes) -> dict:
     return out
 
 
+def _vbri(raw: bytes) -> dict:
+    """The other kind of table: seek points are byte counts of equal runs of frames, summed up here."""
+    size, frames, n, scale, width, each = struct.unpack_from(">IIHHHH", raw, 10)
+    steps = [int.from_bytes(raw[26 + i * width : 26 + (i + 1) * width], "big") * scale for i in range(n)]
+    return {"frames": frames, "bytes": size, "toc": [sum(steps[: i + 1]) for i in range(n)], "frames_each": each}
+
+
 def seek(parsed: dict, second: float) -> int | None:
     """The offset of the frame that sounds at a time; None beyond the end."""
     at = int(second * parsed["hertz"] * len(parsed["offsets"]) // max(1, parsed["samples"])) if parsed["hertz"] else 0
@@ -239,9 +317,9 @@ def media_digests(docs: DataFrame) -> DataFrame:
                     seeks = zlib.crc32(struct.pack(f">{len(x['offsets'])}Q", *x["offsets"]))
                     whole = x["table"]["frames"] == x["frames"] and not x["bad_crc"] and not x["skipped"]
                     feature = f"mpeg{x['version']}-layer{x['layer']} samples={x['samples']} hertz={x['hertz']} frames={x['frames']} seek={seeks:08x} {'whole' if whole else 'broken'}"
-                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, x["samples"], x["hertz"], x["offsets"]))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "hertz", "offsets"]
                 yield pa.RecordBatch.from_arrays([ids, sizes, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", *names])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, hertz int, offsets array<long>")

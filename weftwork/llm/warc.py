@@ -167,29 +167,28 @@ def with_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, out_uri: str, *, least_bytes: int = 100) -> list:
-    """Writes an archive for each partition; their manifest (file, records), a row for each."""
+def write_archives(pages: DataFrame, out_uri: str, *, least_bytes: int = 100, archive_bytes: int = 256 << 20) -> list:
+    """Writes the archives of each partition, a new one after about archive_bytes of records; their manifest (file, records), a row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        first = next(rows, None)
-        if first is None:
-            return
-        name, n = f"part-{TaskContext.get().partitionId():06d}.warc.zst", 0
+        ahead, number = next(rows, None), 0
 
         def raw() -> Iterator[bytes]:
-            yield record(first[0], first[1], first[2].encode("utf-8", "surrogatepass"), first[3], first[4])
-            for row in rows:
-                yield record(row[0], row[1], row[2].encode("utf-8", "surrogatepass"), row[3], row[4])
-
-        def write(stream) -> None:
-            nonlocal n
-            n = write_archive(stream, raw())
-
-        common.put_file(f"{out_uri}/{name}", write)
-        yield pa.RecordBatch.from_pydict({"file": [name], "records": [n]})
+            nonlocal ahead
+            size = 0
+            while ahead is not None and size < archive_bytes:
+                out = record(ahead[0], ahead[1], ahead[2].encode("utf-8", "surrogatepass"), ahead[3], ahead[4])
+                ahead, size = next(rows, None), size + len(out)
+                yield out
+
+        while ahead is not None:
+            name, counts = f"part-{TaskContext.get().partitionId():06d}-{number:04d}.warc.zst", []
+            common.put_file(f"{out_uri}/{name}", lambda stream, counts=counts: counts.append(write_archive(stream, raw())))
+            yield pa.RecordBatch.from_pydict({"file": [name], "records": counts})
+            number += 1
 
     return with_revisits(pages, least_bytes).mapInArrow(run, "file string, records long").collect()
 
