@@ -38,7 +38,7 @@ def _verdict(report: Report) -> int:
 
 def _tabular(a: argparse.Namespace, spark: Make) -> int:
     schema = Schema.from_yaml(a.schema)
-    data = generate(schema, spark(), seed=a.seed)
+    data = generate(schema, spark(), seed=a.seed).staged()
     written = io.export_dataset(data, a.out, [f.strip() for f in a.format.split(",") if f.strip()], basename=a.basename)
     for name, n in data.row_counts().items():
         print(f"{name}: {n} rows")
@@ -101,7 +101,7 @@ def _validate(a: argparse.Namespace, spark: Make) -> int:
     schema = Schema.from_yaml(a.schema)
     if a.data:
         return _verdict(io.validate_data(schema, a.data, spark(), tolerance=a.tolerance))
-    return _verdict(validate(generate(schema, spark(), seed=a.seed), tolerance=a.tolerance))
+    return _verdict(validate(generate(schema, spark(), seed=a.seed).staged(), tolerance=a.tolerance))
 
 
 def _infer(a: argparse.Namespace, spark: Make) -> int:
@@ -111,12 +111,12 @@ def _infer(a: argparse.Namespace, spark: Make) -> int:
     Path(a.out).write_text(found.to_yaml(f"# From {a.data} ({raw.kind}); labels below {a.min_category_count} rows aren't listed; rows x {a.rows_scale}.\n"), encoding="utf-8")
     print(f"{len(found.schema.tables)} tables in {a.out}\n{found.summary()}")
     if not a.no_fidelity:
-        print(profile.render_fidelity(profile.fidelity(raw, found.schema, generate(found.schema, spark()).tables)))
+        print(profile.render_fidelity(profile.fidelity(raw, found.schema, generate(found.schema, spark()).staged().tables)))
     return 0
 
 
 def _report(a: argparse.Namespace, spark: Make) -> int:
-    print(render_distribution(distribution_report(generate(Schema.from_yaml(a.schema), spark(), seed=a.seed))))
+    print(render_distribution(distribution_report(generate(Schema.from_yaml(a.schema), spark(), seed=a.seed).staged())))
     return 0
 
 

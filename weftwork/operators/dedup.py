@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions import text as T
-from weftwork.staging import stage
+from weftwork.staging import stage, unstage
 
 
 def exact(df: DataFrame, text: str, order: str, by: list[str] | None = None) -> DataFrame:
@@ -75,20 +75,19 @@ def cosine_pairs(df: DataFrame, vector: str, key: str, by: str, *, least: float,
 
 def greedy(df: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """df without rows that are near one that stays and comes before: in rounds, rows whose earlier partners are all decided are decided."""
-    spark = df.sparkSession
-    left = pairs.select("a", "b").where("a <> b").distinct()
-    gone = spark.createDataFrame([], "id long")
-    while True:
-        left = left.cache()
-        if left.limit(1).count() == 0:
-            break
+    left, gone = stage(pairs.select("a", "b").where("a <> b").distinct(), "pairs"), []
+    while left.limit(1).count():
         later = left.select(F.col("b").alias("n")).distinct()
-        stays = left.select(F.col("a").alias("n")).distinct().join(later, "n", "left_anti")
-        falls = left.join(stays, F.col("a") == F.col("n"), "left_semi").select(F.col("b").alias("id")).distinct()
-        gone = gone.unionByName(falls)
-        out = left.join(falls, F.col("a") == F.col("id"), "left_anti").join(falls, F.col("b") == F.col("id"), "left_anti")
-        left = out.join(stays, F.col("a") == F.col("n"), "left_anti")
-    return df.join(gone.distinct(), F.col(key) == F.col("id"), "left_anti")
+        stays = stage(left.select(F.col("a").alias("n")).distinct().join(later, "n", "left_anti"), "stays")
+        falls = stage(left.join(stays, F.col("a") == F.col("n"), "left_semi").select(F.col("b").alias("__gone")).distinct(), "falls")
+        gone.append(falls)
+        undecided = left.join(falls, F.col("a") == F.col("__gone"), "left_anti").join(falls, F.col("b") == F.col("__gone"), "left_anti").join(stays, F.col("a") == F.col("n"), "left_anti")
+        further = stage(undecided, "pairs")
+        unstage(left, stays)
+        left = further
+    for falls in gone:
+        df = df.join(falls, F.col(key) == F.col("__gone"), "left_anti")
+    return df
 
 
 def near(df: DataFrame, text: str, key: str, *, method: str = "lexical", threshold: float = 0.8, vector: str | None = None, by: str | None = None) -> DataFrame:

@@ -49,12 +49,17 @@ def _is_moment(text: Column) -> Column:
     return whole.isin(*_MOMENTS)
 
 
+def _moment(text: Column) -> Column:
+    """The wall time of a moment, without parts of seconds and zone."""
+    return F.replace(F.regexp_extract(text, r"^[\d-]{10}[T ][\d:]{5,8}", 0), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")
+
+
 def _fits(kind: str, name: str, c: Column) -> Column:
     text = F.trim(c)
     words = ["true", "false"] + (["0", "1"] if _FLAG.search(name) else [])
     return {
         "bool": F.lower(text).isin(*words), "int": text.rlike(_INT), "float": text.rlike(_FLOAT) & text.rlike(r"^[+-]?(0(?!\d)|[1-9]|\.|0\.)") & text.try_cast("double").isNotNull(),
-        "date": (_shape(text) == _DAY) & text.try_cast("date").isNotNull(), "datetime": _is_moment(text) & F.substring(F.replace(text, F.lit("T"), F.lit(" ")), 1, 19).try_cast("timestamp_ntz").isNotNull(),
+        "date": (_shape(text) == _DAY) & text.try_cast("date").isNotNull(), "datetime": _is_moment(text) & _moment(text).isNotNull(),
         "uuid": text.rlike(pools.UUID), "email": text.rlike(_EMAIL), "string": F.lit(True),
     }[kind]
 
@@ -185,7 +190,7 @@ class Inference:
 
 def typed(kind: str, c: Column) -> Column:
     text = F.trim(c)
-    return {"int": text.try_cast("bigint"), "float": text.try_cast("double"), "date": text.try_cast("date"), "datetime": F.substring(F.replace(text, F.lit("T"), F.lit(" ")), 1, 19).try_cast("timestamp_ntz"), "bool": F.lower(text).isin("true", "1")}.get(kind, text)
+    return {"int": text.try_cast("bigint"), "float": text.try_cast("double"), "date": text.try_cast("date"), "datetime": _moment(text), "bool": F.lower(text).isin("true", "1")}.get(kind, text)
 
 
 def infer_schema(raw: RawData, *, rows_scale: float = 1.0, min_category_count: int = 5, seed: int = 1234, max_categories: int = MOST_LABELS) -> Inference:

@@ -13,6 +13,7 @@ from weftwork.functions import pools, rng
 from weftwork.functions.formula import Formula
 from weftwork.functions.ranking import with_position
 from weftwork.plans.schema import DISTRIBUTIONS, OPEN_DAYS, SEMANTIC, Field, Schema, Table, bounds, capacity, field_order, formula_text, load_schema, window
+from weftwork.staging import stage
 
 RID = "_rid"
 #: Ranks whose weights are summed one by one; those beyond, if a table has more parents, follow the integral.
@@ -35,6 +36,10 @@ class Dataset:
     def row_counts(self) -> dict[str, int]:
         return {k: v.count() for k, v in self.tables.items()}
 
+    def staged(self) -> Dataset:
+        """The same tables, written once to the shared folder: for what reads them more than once."""
+        return Dataset(self.schema, {k: stage(v, k) for k, v in self.tables.items()})
+
     def to_pandas(self) -> dict[str, Any]:
         return {k: v.toPandas() for k, v in self.tables.items()}
 

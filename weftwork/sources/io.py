@@ -33,24 +33,49 @@ class RawData:
         return list(self.tables)
 
 
+def _hadoop(spark: SparkSession, uri: str):
+    """(file system, path) of a URI on any store that Spark can read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _listed(where: str, spark: SparkSession) -> list[tuple[str, str]]:
+    """(name, path or URI) of what a folder holds, by name."""
+    if "://" not in where:
+        return sorted((p.name, str(p)) for p in Path(where).iterdir())
+    system, path = _hadoop(spark, where)
+    return sorted((x.getPath().getName(), x.getPath().toString()) for x in system.listStatus(path))
+
+
+def _is_folder(where: str, spark: SparkSession) -> bool:
+    if "://" not in where:
+        return Path(where).is_dir()
+    system, path = _hadoop(spark, where)
+    return system.exists(path) and system.getFileStatus(path).isDirectory() and not where.rstrip("/").endswith(".csv")
+
+
 def load_raw(path: str | Path, spark: SparkSession) -> RawData:
-    where = Path(path)
-    if where.is_dir():
+    """Tables of a folder (a path, or a URI on a shared store), a CSV file or, on this machine, a SQLite file."""
+    where = str(path).rstrip("/")
+    name = where.rsplit("/", 1)[-1]
+    stem, _, kind = name.rpartition(".")
+    if _is_folder(where, spark):
         return _folder(where, spark)
-    if where.is_file() and where.suffix.lower() in (".db", ".sqlite", ".sqlite3"):
+    if kind.lower() in ("db", "sqlite", "sqlite3") and Path(where).is_file():
         return RawData(read_sqlite(where, spark), "sqlite", str(path))
-    if where.is_file() and where.suffix.lower() == ".csv":
-        return RawData({where.stem: read_csv(where, spark)}, "csv", str(path))
+    if kind.lower() == "csv" and ("://" in where or Path(where).is_file()):
+        return RawData({stem: read_csv(where, spark)}, "csv", str(path))
     raise LoadError(f"{path} is neither a folder, a SQLite file nor a CSV file")
 
 
-def _folder(where: Path, spark: SparkSession) -> RawData:
-    csv = {p.stem: p for p in sorted(where.glob("*.csv"))}
-    lines = {p.stem: p for p in sorted(where.glob("*.jsonl")) if p.stem not in csv and not p.name.endswith(".chat.jsonl")}
+def _folder(where: str, spark: SparkSession) -> RawData:
+    found = _listed(where, spark)
+    csv = {n.removesuffix(".csv"): p for n, p in found if n.endswith(".csv")}
+    lines = {n.removesuffix(".jsonl"): p for n, p in found if n.endswith(".jsonl") and not n.endswith(".chat.jsonl") and n.removesuffix(".jsonl") not in csv}
     if not csv and not lines:
         raise LoadError(f"{where} has neither CSV nor JSON line files")
     tables = {k: read_csv(p, spark) for k, p in csv.items()} | {k: read_jsonl(p, spark) for k, p in lines.items()}
-    return RawData(tables, "+".join((["csv"] if csv else []) + (["jsonl"] if lines else [])), str(where))
+    return RawData(tables, "+".join((["csv"] if csv else []) + (["jsonl"] if lines else [])), where)
 
 
 def read_csv(path: str | Path, spark: SparkSession) -> DataFrame:
@@ -143,37 +168,44 @@ def validate_data(schema: Schema | dict | str, path: str | Path, spark: SparkSes
 
 
 def export_dataset(data: Dataset, out: str | Path, formats: list[str] | str = "csv", *, basename: str = "data", single: bool = True) -> dict[str, list[str]]:
-    """Writes all tables in each format; the paths by format. single: one file a table for CSV and JSON lines."""
+    """Writes all tables in each format; the paths by format. single: one file a table for CSV and JSON lines, written by the driver; else, and always on a URI, Spark's folders of part files."""
     formats = [formats] if isinstance(formats, str) else list(formats)
     for f in formats:
         if f not in FORMATS:
             raise ExportError(f"unknown format {f!r}; there are {', '.join(FORMATS)}")
-    where = Path(out)
-    where.mkdir(parents=True, exist_ok=True)
+    where = str(out).rstrip("/")
+    remote = "://" in where
+    if remote and "sqlite" in formats:
+        raise ExportError("a SQLite file can't be written to a URI")
+    if not remote:
+        Path(where).mkdir(parents=True, exist_ok=True)
     paths: dict[str, list[str]] = {f: [] for f in formats}
     for f in formats:
         if f == "sqlite":
-            paths[f].append(write_sqlite(data, where / f"{basename}.db"))
+            paths[f].append(write_sqlite(data, Path(where) / f"{basename}.db"))
             continue
         for t in data.schema.tables:
-            df = data[t.name].select(*t.names)
-            target = where / f"{t.name}.{f}"
+            df, target = data[t.name].select(*t.names), f"{where}/{t.name}.{f}"
             if f == "parquet":
-                df.write.mode("overwrite").parquet(str(target))
-            elif not single:
-                (df.write.mode("overwrite").csv(str(target), header=True, escape='"') if f == "csv" else jsonl_text(df).write.mode("overwrite").text(str(target)))
+                df.write.mode("overwrite").parquet(target)
+            elif remote or not single:
+                (_shown(df).write.mode("overwrite").csv(target, header=True, escape='"') if f == "csv" else jsonl_text(df).write.mode("overwrite").text(target))
             elif f == "csv":
-                _one_csv(df, target)
+                _one_csv(df, Path(target))
             else:
                 write_jsonl(df, target)
-            paths[f].append(str(target))
+            paths[f].append(target)
     return paths
 
 
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if k == "timestamp_ntz" else F.col(c) for c, k in df.dtypes))
+
+
 def _one_csv(df: DataFrame, path: Path) -> None:
     import csv
 
-    shown = df.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if k == "timestamp_ntz" else F.col(c) for c, k in df.dtypes))
+    shown = _shown(df)
     with path.open("w", newline="", encoding="utf-8") as file:
         writer = csv.writer(file)
         writer.writerow(df.columns)
