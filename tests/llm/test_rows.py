@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.common import docs, prose, rows
@@ -99,6 +101,45 @@ def test_what_training_saw_once_is_known(spark):
     assert got[held[0]] > got[held[2]] + 1 and got[held[1]] > got[held[2]] + 1 and got[held[0]] >= got[held[1]]
 
 
+@pytest.mark.parametrize("count", [lm_score.unigrams, lm_score.bigrams])
+def test_counting_holds_a_bounded_share_of_a_task(spark, count):
+    """One task with 3 million tokens, nearly all their bigrams different: small batches out, and no more memory than a few of its runs take."""
+    found = []
+
+    class Task:
+        select = groupBy = agg = lambda self, *_: self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            found.append(run)
+            return self
+
+    draw = np.random.default_rng(5)
+    texts = [" ".join(map(str, draw.integers(0, 2_000_000, 3000).tolist())) for _ in range(1000)]
+    ids = [i for i in range(2000) if not lm_score.held_out(i)][:1000]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["doc_id", "text"])
+    del texts
+    count(Task())
+    tokens = sizes = 0
+    tracemalloc.start()
+    try:
+        for out in found[0](iter([batch])):
+            tokens, sizes = tokens + sum(out.column(1).to_pylist()), max(sizes, out.num_rows)
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert tokens == 1000 * 3001 and sizes <= 1 << 16 and most < 150, (tokens, sizes, most)
+
+
+def test_runs_cover_each_row_once():
+    texts = ["a" * 600_000, None, "", "é" * 1_500_000, "b", *["c" * 999] * 2500, "d" * 400_000]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(len(texts) - 1), None]), pa.array(texts)], ["doc_id", "text"])
+    got = list(lm_score.runs(batch))
+    assert [x for _, _, ids, _ in got for x in ids] == batch.column(0).to_pylist() and [x for *_, own in got for x in own] == texts
+    assert [at for at, *_ in got] == [0, *(to for _, to, *_ in got[:-1])] and got[-1][1] == len(texts)
+    assert all(len(own) == 1 or sum(len((x or "").encode()) for x in own) <= 1_000_000 for *_, own in got) and len(got) == 5
+    assert not list(lm_score.runs(batch.slice(0, 0)))
+
+
 def test_shards(spark):
     data = rows()
     out = sharding.shard(docs(spark, data), shards=4, bucket_bytes=20_000)

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ from weftwork.llm import common, wordhash
 from weftwork.llm.wordhash import Counts, mix
 
 END, BEGIN = np.uint64(0x5EED0E4D), np.uint64(0x5EED0BE6)
+#: What a task holds at once, whatever its share of the rows: bytes of texts, tokens probed together, n-grams counted, keys of a step over arrays, rows handed on.
+RUN_BYTES, GROUP, HELD, STEP, OUT_ROWS = 1_000_000, 1 << 21, 1 << 20, 1 << 18, 1 << 16
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -58,6 +61,38 @@ def least_count(levels: np.ndarray, base: float) -> np.ndarray:
     return np.ceil(base ** (levels - 1.0) - 1e-6)
 
 
+def steps(n: int) -> Iterator[slice]:
+    """Slices of n rows whose temporary arrays stay small."""
+    return (slice(at, min(n, at + STEP)) for at in range(0, n, STEP))
+
+
+def spans(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of rows of at most `most` in all; a larger row is a run of its own."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list, list]]:
+    """(from, to, ids, texts) of runs of a batch (doc_id, text), so that only one run's texts are Python objects."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64) + 1
+    for at, to in spans(sizes, RUN_BYTES):
+        yield at, to, batch.column(0).slice(at, to - at).to_pylist(), batch.column(1).slice(at, to - at).to_pylist()
+
+
+def handed_on(total: Counts, names: list[str], least: int = 0) -> Iterator[pa.RecordBatch]:
+    """Merges what is counted; if more than `least` keys, hands them on in small batches and forgets them."""
+    total.merge()
+    if len(total.keys) > least:
+        keys, sums = total.keys.view(np.int64), total.sums
+        total.keys, total.sums = np.zeros(0, np.uint64), np.zeros((0, total.columns), np.int64)
+        for at in range(0, len(keys), OUT_ROWS):
+            part = slice(at, at + OUT_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), *(pa.array(sums[part, i]) for i in range(total.columns))], names)
+
+
 class LogFilter:
     """A Bloom filter of (key, level) in blocks by key, each a file of the shared folder that one task fills; a probe holds one block at a time."""
 
@@ -83,15 +118,18 @@ class LogFilter:
         if not len(keys):
             return out
         system, path = common.file_system(self.path)
-        block = self.block_of(keys, self.blocks)
-        order = np.argsort(block.astype(np.uint16) if self.blocks < 1 << 16 else block, kind="stable")
+        block = np.empty(len(keys), np.uint16 if self.blocks < 1 << 16 else np.int64)
+        for own in steps(len(keys)):
+            block[own] = self.block_of(keys[own], self.blocks)
+        order = np.argsort(block, kind="stable")
         bounds = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=self.blocks))])
         for b in np.flatnonzero(np.diff(bounds)).tolist():
             if b in self.filled:
                 with system.open_input_stream(f"{path}/{b:06d}", compression=None) as stream:
                     bits = np.frombuffer(stream.read(), np.uint64)
                 at = order[bounds[b] : bounds[b + 1]]
-                out[at] = self._probe(bits, keys[at])
+                for own in steps(len(at)):
+                    out[at[own]] = self._probe(bits, keys[at[own]])
         return out
 
     def _probe(self, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -106,7 +144,7 @@ class LogFilter:
         return out
 
 
-def token_rows(ids: list, texts: list):
+def token_rows(texts: list):
     """(hashes of all words and an end for each text, number of tokens of each)."""
     hashes, counts, _ = wordhash.words(texts)
     counts = counts + 1
@@ -129,43 +167,55 @@ def unigrams(docs: DataFrame) -> DataFrame:
     """(key, c, a): the count of each token in training documents and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = Counts(2)
+        total = Counts(2, 1 << 62)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, to in wordhash.chunks(texts):
-                tokens, counts = token_rows(ids[at:to], texts[at:to])
-                train = np.repeat([not held_out(x) for x in ids[at:to]], counts)
+            for _, _, ids, texts in runs(batch):
+                tokens, counts = token_rows(texts)
+                train = np.repeat([not held_out(x) for x in ids], counts)
                 keys, back, n = np.unique(tokens, return_inverse=True, return_counts=True)
                 total.add(keys, np.stack([np.bincount(back, train, len(keys)).astype(np.int64), n], axis=1))
-        total.merge()
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys.view(np.int64)), pa.array(total.sums[:, 0]), pa.array(total.sums[:, 1])], ["key", "c", "a"])
+                if total.size > HELD:
+                    yield from handed_on(total, ["key", "c", "a"], HELD // 2)
+        yield from handed_on(total, ["key", "c", "a"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "key long, c long, a long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
-def token_groups(texts: list, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, tokens, number of tokens of each) of runs of texts of about so many tokens, which are probed at once."""
+def pairs_of(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bigram that ends in each token."""
+    out = contexts(tokens, counts)
+    for own in steps(len(out)):
+        out[own] = pair(out[own], tokens[own])
+    return out
+
+
+def token_groups(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, tokens, number of tokens of each) of runs of texts of about GROUP tokens, which are probed at once."""
     held, size, first = [], 0, 0
-    for at, to in wordhash.chunks(texts):
-        held.append(token_rows([], texts[at:to]))
+    for _, to, _, texts in runs(batch):
+        held.append(token_rows(texts))
         size += len(held[-1][0])
-        if size >= most or to == len(texts):
-            yield first, to, np.concatenate([t for t, _ in held]), np.concatenate([c for _, c in held])
-            held, size, first = [], 0, to
+        if size >= GROUP or to == batch.num_rows:
+            tokens, counts = np.concatenate([t for t, _ in held]), np.concatenate([c for _, c in held])
+            held, size = [], 0
+            yield first, to, tokens, counts
+            first = to
 
 
 def bigrams(docs: DataFrame) -> DataFrame:
     """(key, c): the count of each bigram in training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = Counts(1, 4_000_000)
+        total = Counts(1, 1 << 62)
         for batch in batches:
-            texts = [t for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not held_out(i)]
-            for at, to in wordhash.chunks(texts):
-                tokens, counts = token_rows([], texts[at:to])
-                total.add(*np.unique(pair(contexts(tokens, counts), tokens), return_counts=True))
-        total.merge()
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys.view(np.int64)), pa.array(total.sums[:, 0])], ["key", "c"])
+            for _, _, ids, texts in runs(batch):
+                texts = [t for i, t in zip(ids, texts, strict=True) if not held_out(i)]
+                if not texts:
+                    continue
+                total.add(*np.unique(pairs_of(*token_rows(texts)), return_counts=True))
+                if total.size > HELD:
+                    yield from handed_on(total, ["key", "c"], HELD // 2)
+        yield from handed_on(total, ["key", "c"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
@@ -262,16 +312,17 @@ def probed(docs: DataFrame, filter_: LogFilter, starts_level: int, known: np.nda
 
         lm, head, counts_of = shared.value
         row = TaskContext.get().partitionId() << 40
-        found, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        seen = Counts(1)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for at, to, tokens, counts in token_groups(texts):
+            ids = batch.column(0)
+            for at, to, tokens, counts in token_groups(batch):
                 n, first = to - at, np.cumsum(counts) - counts
+                both = lm.levels(pairs_of(tokens, counts))
                 words, back = np.unique(tokens, return_inverse=True)
+                back, size, tokens = back.astype(np.int32), len(tokens), None
                 word = lm.levels(words)[back]
-                before = np.concatenate([[starts_level], word[:-1]]).astype(np.uint8)
+                before = np.concatenate([np.array([starts_level], np.uint8), word[:-1]])
                 before[first] = starts_level
-                both = lm.levels(pair(contexts(tokens, counts), tokens))
                 levels = np.stack([before, both, word], axis=1)
                 place = np.minimum(np.searchsorted(head, words), max(0, len(head) - 1))
                 in_head = head[place] == words if len(head) else np.zeros(len(words), bool)
@@ -281,20 +332,28 @@ def probed(docs: DataFrame, filter_: LogFilter, starts_level: int, known: np.nda
                 train = np.array([not held_out(x) for x in out_ids.to_pylist()])
                 number = np.arange(row, row + n)
                 row += n
-                ends = np.concatenate([first, [len(tokens)]]).astype(np.int64) * 3
+                ends = np.concatenate([first, [size]]).astype(np.int64) * 3
                 packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(levels.tobytes())])
                 yield rows(n, kind=pa.array(np.zeros(n, np.int32)), row=pa.array(number), doc_id=out_ids, n_tokens=pa.array(counts), n_known=pa.array(np.add.reduceat((c > 0)[back].astype(np.int64), first)), base=pa.array(np.add.reduceat(logs[back], first)), levels=packed, train=pa.array(train))
-                owner = np.repeat(np.arange(n), counts)
-                codes = (levels[:, 0].astype(np.int64) << 16 | levels[:, 1].astype(np.int64) << 8 | levels[:, 2])[train[owner]]
-                seen, many = np.unique(np.concatenate([found, codes]), return_inverse=True)
-                weights = np.concatenate([sums, np.ones(len(codes), np.int64)])
-                found, sums = seen, np.bincount(many, weights, len(seen)).astype(np.int64)
+                codes, learned = before.astype(np.int32), np.repeat(train, counts)
+                for own in (both, word):
+                    codes <<= 8
+                    codes |= own
+                kinds, times = np.unique(codes[learned], return_counts=True)
+                seen.add(kinds.astype(np.uint64), times)
+                seen.merge()
                 rare = np.flatnonzero(~in_head[back])
                 if len(rare):
-                    code, times = np.unique(owner[rare] * len(words) + back[rare], return_counts=True)
-                    m, owner, rare = len(code), code // len(words), code % len(words)
-                    yield rows(m, kind=pa.array(np.ones(m, np.int32)), row=pa.array(number[owner]), key=pa.array(words[rare].view(np.int64)), times=pa.array(times), train=pa.array(train[owner]))
-        yield rows(len(found), kind=pa.array(np.full(len(found), 2, np.int32)), triple=pa.array(found), n=pa.array(sums))
+                    owner = np.searchsorted(first, rare, "right") - 1
+                    owner *= len(words)
+                    owner += back[rare]
+                    code, times = np.unique(owner, return_counts=True)
+                    for s in range(0, len(code), OUT_ROWS):
+                        owner, rare = np.divmod(code[s : s + OUT_ROWS], len(words))
+                        m = len(owner)
+                        yield rows(m, kind=pa.array(np.ones(m, np.int32)), row=pa.array(number[owner]), key=pa.array(words[rare].view(np.int64)), times=pa.array(times[s : s + OUT_ROWS]), train=pa.array(train[owner]))
+        m = len(seen.keys)
+        yield rows(m, kind=pa.array(np.full(m, 2, np.int32)), triple=pa.array(seen.keys.view(np.int64)), n=pa.array(seen.sums[:, 0]))
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -334,8 +393,8 @@ def score(docs: DataFrame, *, head: int = 1 << 19, base: float = 1.5, bits: int
         for batch in batches:
             flat = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(batch.num_columns - 1)]
             out = np.zeros(len(flat))
-            for at in range(0, len(flat), 200):
-                part = flat[at : at + 200]
+            for at, to in spans(np.array([len(x) // 3 for x in flat], np.int64), STEP):
+                part = flat[at:to]
                 own = np.concatenate(part).reshape(-1, 3).astype(np.int64)
                 kind, back = np.unique(own[:, 0] << 16 | own[:, 1] << 8 | own[:, 2], return_inverse=True)
                 kind = np.stack([kind >> 16, kind >> 8 & 255, kind & 255], axis=1)
@@ -343,7 +402,7 @@ def score(docs: DataFrame, *, head: int = 1 << 19, base: float = 1.5, bits: int
                 a = mixture[kind[:, 0]]
                 logs = np.log10(a * two + (1 - a) * one)[back]
                 sizes = np.array([len(x) // 3 for x in part])
-                out[at : at + 200] = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+                out[at:to] = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "score"])
 
     whole = seen.where("kind = 0").select("row", "doc_id", "train", "n_tokens", "n_known", "base", "levels")
