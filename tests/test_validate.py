@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.schemas import LIBRARY, RULES, STAFF
+from weftwork.operators import validate as validation
 from weftwork.operators.records import validate_records
 from weftwork.operators.validate import distribution_report, looping, render_distribution, validate
 from weftwork.plans.generate import Dataset, generate
@@ -48,6 +49,16 @@ def test_cycles(spark):
     assert sorted(r[0] for r in looping(twice, "id", "up").collect()) == [1, 2, 7]
 
 
+def test_cycles_pass_the_driver_by(spark, monkeypatch):
+    rows, plans, paths = list(range(1, 3001)), [], []
+    staged = validation.stage
+    monkeypatch.setattr(validation, "stage", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), paths.append(name), staged(df, name))[-1])
+    df = spark.createDataFrame([(i, i // 2 or None) for i in rows] + [(5000 + i, 5000 + (i + 1) % 37) for i in range(37)] + [(6000 + i, 6000 + i - 1 if i else None) for i in range(100)] + [(7000 + i, 7000 + i - 1 if i else 5003) for i in range(50)], "id long, up long")
+    assert {r[0] for r in looping(df, "id", "up").collect()} == {*range(5000, 5037), *range(7000, 7050)}
+    assert plans and not any("Broadcast" in p for p in plans)
+    assert len(paths) <= 9  # a path of 100 steps is left by 7 doublings
+
+
 def test_report(library):
     text = render_distribution(distribution_report(library))
     assert "age_group" in text and "adult 0.600 (0.600)" in text

@@ -219,20 +219,24 @@ def uncovered(parent: DataFrame, key: str, child: DataFrame, fk: str, least: int
 
 
 def looping(df: DataFrame, key: str, parent: str, *, rounds: int = 64) -> DataFrame:
-    """Nodes from which following parents never ends, by doubling the steps of all pointers each round; it ends when none is left.
+    """Nodes from which following parents never ends, by doubling the steps of all pointers each round.
+
+    It ends when a round leaves as many as before: a path that ended would have a node that falls out in that round.
 
     A key that repeats is one node, and of several parents the least counts, so that a round never has more rows than nodes.
+    Joins are by shuffle: small files may hold very many nodes, which a broadcast would send through the driver each round.
     """
     hops = df.where(F.col(key).isNotNull() & F.col(parent).isNotNull()).groupBy(F.col(key).alias("node")).agg(F.min(parent).alias("at"))
     own = df.select(F.col(key).alias("k")).where("k is not null").distinct()
-    hops = stage(hops.join(own, F.col("at") == F.col("k"), "left_semi"), "hops")
+    hops = stage(hops.join(own.hint("merge"), F.col("at") == F.col("k"), "left_semi"), "hops")
     n = hops.count()
     for _ in range(min(rounds, n.bit_length() + 1)):
         ahead = hops.select(F.col("node").alias("mid"), F.col("at").alias("next"))
-        further = stage(hops.join(ahead, F.col("at") == F.col("mid")).select("node", F.col("next").alias("at")), "hops")
+        further = stage(hops.join(ahead.hint("merge"), F.col("at") == F.col("mid")).select("node", F.col("next").alias("at")), "hops")
         unstage(hops)
-        hops = further
-        if not hops.limit(1).count():
+        hops, before = further, n
+        n = hops.count()
+        if n in (0, before):
             break
     return hops.select("node")
 
