@@ -16,7 +16,7 @@ from weftwork.operators.validate import orphans
 from weftwork.plans.schema import Schema
 from weftwork.sources.io import RawData
 
-EVIDENCE, MOST_LABELS, CHUNK = 20, 50, 200
+EVIDENCE, MOST_LABELS, CHUNK, FIRST = 20, 50, 200, 1000
 KINDS = ("bool", "int", "float", "date", "datetime", "uuid", "email", "string")
 _INT, _FLOAT = r"^[+-]?(0|[1-9]\d*)$", r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 #: Shapes of dates and moments, each digit as 9; parts of seconds and zones are taken off before.
@@ -69,14 +69,28 @@ def present(c: Column) -> Column:
 
 
 def sniff(df: DataFrame) -> dict[str, str]:
-    """The kind of each text column: the first that all its values fit; empty if it has none. One aggregate for all."""
-    exprs = []
-    for c in df.columns:
-        x = present(F.col(c))
-        exprs.append(F.count(x).alias(f"{c}/n"))
-        exprs += [F.coalesce(F.bool_and(F.when(x.isNotNull(), _fits(k, c, x))), F.lit(False)).alias(f"{c}/{k}") for k in KINDS]
-    got = df.agg(*exprs).first()
-    return {c: "empty" if not got[f"{c}/n"] else next(k for k in KINDS if got[f"{c}/{k}"]) for c in df.columns}
+    """The kind of each text column: the first that all its values fit; empty if it has none.
+
+    Some first rows rule kinds out; one aggregate then holds all values against the first kind left of each column, and
+    another one follows only where a kind fails.
+    """
+
+    def fit(held: DataFrame, asked: dict[str, list[str]]) -> dict:
+        return held.agg(F.lit(0), *(F.coalesce(F.bool_and(F.when((x := present(F.col(c))).isNotNull(), _fits(k, c, x))), F.lit(True)).alias(f"{c}/{k}") for c, ks in asked.items() for k in ks)).first().asDict()
+
+    first = fit(df.limit(FIRST), {c: list(KINDS) for c in df.columns})
+    left = {c: [k for k in KINDS if first[f"{c}/{k}"]] for c in df.columns}
+    many = df.agg(F.lit(0), *(F.count(present(F.col(c))).alias(c) for c in df.columns)).first().asDict()
+    out = {c: "empty" for c in df.columns if not many[c]}
+    while open_ := {c: ks[:1] for c, ks in left.items() if c not in out}:
+        told = {c: ks for c, ks in open_.items() if ks != ["string"]}
+        got = fit(df, told) if told else {}
+        for c, (k,) in open_.items():
+            if k == "string" or got[f"{c}/{k}"]:
+                out[c] = k
+            else:
+                left[c] = left[c][1:]
+    return {c: out[c] for c in df.columns}
 
 
 def merged_labels(df: DataFrame, c: str, *, least: int = 5, other: str = "other") -> DataFrame:
@@ -232,15 +246,14 @@ def _copied(x):
 
 
 def _profiles(table: str, df: DataFrame) -> list[Profile]:
+    """Values are counted column by column: distinct counts of all at once would repeat each row for each column and sort them all."""
     kinds, out = sniff(df), []
-    exprs = [F.count("*").alias("n")]
-    for c, k in kinds.items():
-        v = typed(k, F.col(c))
-        decimals = F.when(F.col(c).rlike("[eE]"), 6).otherwise(F.least(F.lit(6), F.length(F.regexp_replace(F.regexp_extract(c, r"\.(\d*)$", 1), "0+$", ""))))
-        exprs += [F.count(c).alias(f"{c}/n"), F.count_distinct(v).alias(f"{c}/d"), F.min(v).alias(f"{c}/low"), F.max(v).alias(f"{c}/high"), F.max(decimals).alias(f"{c}/digits")]
-    got = df.agg(*exprs).first()
+    decimals = lambda c: F.when(F.col(c).rlike("[eE]"), 6).otherwise(F.least(F.lit(6), F.length(F.regexp_replace(F.regexp_extract(c, r"\.(\d*)$", 1), "0+$", ""))))
+    got = df.agg(F.count("*").alias("n"), *(F.max(decimals(c)).alias(f"{c}/digits") for c, k in kinds.items() if k == "float")).first().asDict()
     for c, k in kinds.items():
-        p = Profile(table, c, k, got["n"], got["n"] - got[f"{c}/n"], got[f"{c}/d"], got[f"{c}/low"], got[f"{c}/high"], digits=got[f"{c}/digits"] or 0)
+        values = df.select(typed(k, F.col(c)).alias("v"), F.col(c).isNotNull().cast("int").alias("m")).groupBy("v").agg(F.sum("m").alias("m"))
+        r = values.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.count("v").alias("d"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+        p = Profile(table, c, k, got["n"], got["n"] - r["n"], r["d"], r["low"], r["high"], digits=got.get(f"{c}/digits") or 0)
         p.key = p.nulls == 0 and p.n > 0 and p.distinct == p.n
         out.append(p)
     return out
@@ -280,8 +293,8 @@ def _text_spec(p: Profile, df: DataFrame, least: int, most: int, suppressed: dic
     if p.key:
         number = F.regexp_extract(p.name, r"(\d+)$", 1)
         prefix = F.regexp_extract(p.name, r"^(.*?\D)\d+$", 1)
-        r = df.agg(F.count_distinct(prefix).alias("k"), F.first(prefix).alias("p"), F.min(number.try_cast("bigint")).alias("a"), F.max(number.try_cast("bigint")).alias("b"), F.bool_and(number.rlike(r"^(0|[1-9]\d*)$")).alias("ok")).first()
-        if r["ok"] and r["k"] == 1 and r["p"] and r["b"] - r["a"] + 1 == p.n:
+        r = df.agg(F.min(prefix).alias("p"), F.max(prefix).alias("q"), F.min(number.try_cast("bigint")).alias("a"), F.max(number.try_cast("bigint")).alias("b"), F.bool_and(number.rlike(r"^(0|[1-9]\d*)$")).alias("ok")).first()
+        if r["ok"] and r["p"] == r["q"] and r["p"] and r["b"] - r["a"] + 1 == p.n:
             return {"type": "id", "prefix": r["p"], "start": r["a"]}
     if not p.key and p.distinct <= min(most, max(1, (p.n - p.nulls) // 2)):
         counts = [(r["label"], r["n"]) for r in merged_labels(df.where(F.col(p.name).isNotNull()), p.name, least=least).orderBy(F.desc("n"), "label").collect()]
@@ -457,6 +470,20 @@ def _formulas(columns: list[Profile], df: DataFrame, relations: list[str]) -> No
             usable.append(p)
 
 
+def _constant(ratio: DataFrame, digits: int) -> float | None:
+    """The median of r = out / x, or None if no constant agrees with all rows: each row bounds it from both sides, and these bounds rule most operands out."""
+    slack = 0.5000001 * 10.0**-digits + 1e-9 * F.abs("out")
+    one, other = (F.col("out") - slack) / F.col("x"), (F.col("out") + slack) / F.col("x")
+    n, most, least, low, high = ratio.agg(F.count("*"), F.max(F.least(one, other)), F.min(F.greatest(one, other)), F.min("r"), F.max("r")).first()
+    if n < EVIDENCE or low is None or most > least + 1e-9 * abs(least):
+        return None
+    if low == high:
+        return low
+    places = with_position(ratio.where("r is not null").select("r", "id"), "place", F.col("r"), "id")
+    middle = places.where(F.col("place").isin((n - 1) // 2, n // 2)).agg(F.min("r"), F.max("r")).first()
+    return (middle[0] + middle[1]) / 2
+
+
 def _formula_of(p: Profile, operands: list[Profile], df: DataFrame) -> str | None:
     out, named = F.col(p.name), {}
     for i, a in enumerate(operands):
@@ -473,11 +500,8 @@ def _formula_of(p: Profile, operands: list[Profile], df: DataFrame) -> str | Non
                 return k
     for a in operands:
         x = F.col(a.name)
-        ratio = df.where((x != 0) & out.isNotNull()).select((out / x).alias("r"), F.xxhash64("*").alias("id"))
-        n = ratio.count()
-        if n < EVIDENCE:
-            continue
-        middle = ratio.agg(F.percentile("r", 0.5)).first()[0]
+        ratio = df.where((x != 0) & out.isNotNull()).select((out / x).alias("r"), out.alias("out"), x.alias("x"), F.xxhash64("*").alias("id"))
+        middle = _constant(ratio, digits)
         if middle is None or abs(middle) < 1e-9:
             continue
         tries = {c: None for c in (round(middle, d) for d in (2, 3, 4, 6)) if c not in (0, 1)}
